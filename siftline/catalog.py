@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from siftline.plans import crawl_plans, relational_plans, search_plans, text_plans
+from siftline.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
+_MODULES = (text_plans, search_plans, crawl_plans, relational_plans)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
