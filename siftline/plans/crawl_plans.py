@@ -64,8 +64,8 @@ def crawl_sitemap_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["crawl_sitemap_verdict"] = """
-WITH v AS (SELECT user_id AS url, max(epoch(date_trunc('second', ts))) AS at FROM events GROUP BY 1), e AS (SELECT c_custkey AS url, CASE WHEN c_custkey % 4 > 0 THEN 1705000000 + c_custkey * 1000 END AS lastmod FROM customer)
-SELECT CASE WHEN lastmod IS NULL OR at IS NULL THEN 'unknown' WHEN lastmod > at THEN 'changed' ELSE 'unchanged' END AS verdict, count(*) AS n FROM e LEFT JOIN v USING (url) GROUP BY 1"""
+WITH v AS (SELECT user_id AS url, max(epoch(date_trunc('second', ts))) AS seen_at FROM events GROUP BY 1), e AS (SELECT c_custkey AS url, CASE WHEN c_custkey % 4 > 0 THEN 1705000000 + c_custkey * 1000 END AS lastmod FROM customer)
+SELECT CASE WHEN lastmod IS NULL OR seen_at IS NULL THEN 'unknown' WHEN lastmod > seen_at THEN 'changed' ELSE 'unchanged' END AS verdict, count(*) AS n FROM e LEFT JOIN v USING (url) GROUP BY 1"""
 
 
 def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,9 +190,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan
 def instant_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").limit(500)
-    q = p.select("p_partkey", F.concat_ws(" ", F.col("p_size").cast("string"), F.lit("km in mi")).alias("query"))
-    return q.select("p_partkey", answers(F.col("query"), F.lit("en")).alias("a")).select("p_partkey", "a.tool", "a.value")
+    p = table(spark, sf_dir, "part").select("p_size").distinct()
+    q = p.select("p_size", F.concat_ws(" ", F.col("p_size").cast("string"), F.lit("km in m")).alias("query"))
+    return q.select("p_size", answers(F.col("query"), F.lit("en")).alias("a")).select("p_size", "a.tool", "a.value")
+
+
+SQL["instant_answers"] = "SELECT DISTINCT p_size, 'units' AS tool, CAST(p_size * 1000 AS VARCHAR) || ' m' AS value FROM part"
 
 
 @plan

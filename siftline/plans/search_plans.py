@@ -153,10 +153,10 @@ SQL["search_counts"] = f"WITH {_HITS} SELECT query_id, count(*) AS n, CASE WHEN
 
 @plan
 def search_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.listing(crawled(spark, sf_dir).withColumn("crawled_at", F.col("published_at")), "src1", None, 2, 10).select("doc_id", "crawled_at")
+    return search.listing(crawled(spark, sf_dir).withColumn("crawled_at", F.col("published_at")), "src1", None, 1, 10).select("doc_id", "crawled_at")
 
 
-SQL["search_listing"] = f"WITH {CRAWLED} SELECT doc_id, published_at AS crawled_at FROM crawled WHERE domain = 'src1' ORDER BY published_at DESC, doc_id LIMIT 10 OFFSET 10"
+SQL["search_listing"] = f"WITH {CRAWLED} SELECT doc_id, published_at AS crawled_at FROM crawled WHERE domain = 'src1' ORDER BY published_at DESC, doc_id LIMIT 10"
 
 
 @plan

@@ -38,7 +38,7 @@ def read_lexicon(spark: SparkSession, path: str, strong: float = 1.0, weak: floa
 def read_concepts(spark: SparkSession, path: str) -> DataFrame:
     """(id, variants, weight); concepts of one variant are left out."""
     rows = _tsv(spark, path, "id string, variants string, weight string, note string")
-    variants = F.filter(F.transform(F.split("variants", r"\|"), F.trim), lambda v: v != "")
+    variants = F.filter(F.transform(F.split("variants", r"\|"), lambda v: F.trim(v)), lambda v: v != "")
     return rows.select("id", variants.alias("variants"), F.coalesce(F.expr("try_cast(weight as double)"), F.lit(0.85)).alias("weight")).filter(F.size("variants") >= 2)
 
 
