@@ -78,11 +78,11 @@ def rel_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     buys = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     views = e.filter("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("view_id"))
-    return relational.asof_join(buys, views, "user_id", "ts", "view_id").select("event_id", "view_id")
+    return relational.asof_join(buys, views, "user_id", "ts", "view_id").select("event_id", F.coalesce("view_id", F.lit(-1).cast("long")).alias("view_id"))
 
 
 SQL["rel_asof"] = """
-SELECT b.event_id, v.view_id FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') b
+SELECT b.event_id, coalesce(v.view_id, -1) AS view_id FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') b
 ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY ALL) v ON b.user_id = v.user_id AND b.ts >= v.ts"""
 
 
@@ -130,11 +130,11 @@ def rel_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rel_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
     r = Window.partitionBy("s_nationkey").orderBy("s_suppkey").rowsBetween(-2, 0)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.rank().over(w).cast("long").alias("rk"), F.dense_rank().over(w).cast("long").alias("drk"), F.ntile(4).over(w).cast("long").alias("quarter"), F.lag("s_suppkey").over(w).alias("before"), F.lead("s_suppkey").over(w).alias("after"), F.round(F.avg("s_acctbal").over(r), 4).alias("moving"), F.round(F.percent_rank().over(w), 6).alias("pr"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.rank().over(w).cast("long").alias("rk"), F.dense_rank().over(w).cast("long").alias("drk"), F.ntile(4).over(w).cast("long").alias("quarter"), F.lag("s_suppkey", 1, -1).over(w).alias("before"), F.lead("s_suppkey", 1, -1).over(w).alias("after"), F.round(F.avg("s_acctbal").over(r), 4).alias("moving"), F.round(F.percent_rank().over(w), 6).alias("pr"))
 
 
 SQL["rel_windows"] = """
-SELECT s_suppkey, rank() OVER w AS rk, dense_rank() OVER w AS drk, ntile(4) OVER w AS quarter, lag(s_suppkey) OVER w AS before, lead(s_suppkey) OVER w AS after,
+SELECT s_suppkey, rank() OVER w AS rk, dense_rank() OVER w AS drk, ntile(4) OVER w AS quarter, lag(s_suppkey, 1, -1) OVER w AS before, lead(s_suppkey, 1, -1) OVER w AS after,
        round(avg(s_acctbal) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS 2 PRECEDING), 4) AS moving, round(percent_rank() OVER w, 6) AS pr
 FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey)"""
 

@@ -39,3 +39,24 @@ def test_plan_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted({*catalog.queries()} - {*catalog.oracle_sql()}))
 def test_plan_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).count() >= 0
+
+
+def test_typos_as_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from siftline.plans import base
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+        return row[-1]
+
+    from siftline.operators import search
+
+    terms = {tuple(r) for r in search.query_terms(base.asked(spark, DATA)).select("query_id", "term").collect()}
+    words = {r[0] for r in search.postings(base.crawled(spark, DATA), ("title",)).select(F.col("term")).distinct().collect()}
+    want = {(q, t, w, d) for q, t in terms for w in words if t[0] == w[0] and (d := distance(t, w)) <= (2 if len(t) >= 9 else 1 if len(t) >= 4 else 0)}
+    assert {tuple(r) for r in catalog.queries()["search_typos"](spark, DATA).collect()} == want
