@@ -65,8 +65,9 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def _fill(rows: DataFrame, keys: list[str], need: str, size: str, tag: str) -> DataFrame:
-    """Of blocks in permuted order within keys, which are taken whole before `need` is full, and which one is on the limit."""
-    order = Window.partitionBy(*keys).orderBy(_hash(SEED, F.lit(tag), "source", *[k for k in keys if k != "source"], "part"), "part")
+    """Of blocks in permuted order within keys, those that alone are more than `need` last: which are taken whole before it is full, and which
+    one is on the limit."""
+    order = Window.partitionBy(*keys).orderBy(F.col(size) > F.col(need), _hash(SEED, F.lit(tag), "source", *[k for k in keys if k != "source"], "part"), "part")
     upto = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("upto", upto).withColumn("place", F.row_number().over(order))
     return rows.withColumns({"whole": F.col("upto") <= F.col(need), "edge": (F.col("upto") > F.col(need)) & (F.col("upto") - F.col(size) < F.col(need)), "left": F.col(need) - (F.col("upto") - F.col(size))})
