@@ -31,7 +31,8 @@ CACHE_UNITS = 1_500_000
 _SPACES = re.compile(r"\s\s")
 _RUNS = re.compile(r"\s+\S*|\S+")
 _ODD_SPACE = re.compile(r"[\x01\x1c-\x1f]")
-_MARKS = re.compile(r"[^\w\s][.,]|[.,][^\w\s]")
+#: Full stops and commas that belong to a longer pre-token, with other marks or with a space before them.
+_MARKS = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_|\s[.,]")
 
 
 def _byte_symbols() -> str:
