@@ -6,8 +6,9 @@ maximum and equal registers tell of common elements. Bands of register values pr
 the register comparisons estimates their similarity, and the full sets confirm every link.
 
 Pairs are never listed group by group. Documents with equal sets are one class first. Of a bucket, each class is paired
-with the smallest one; only buckets that still hold several components are searched again, first for the best pair of two
-components, then for every pair of different components not tried before. So no proposed link between components is lost.
+with the smallest one; only buckets that still hold several components are searched again, where every two nodes of different
+components that no earlier bucket has compared are. A task compares blocks of a bounded number of nodes, and what it lists
+are links that join two components. So no link that a bucket proposes is lost.
 
 Texts without words, empty or null texts have an empty set and are linked with nothing. Texts of fewer than five words have
 one shingle, the whole sequence. Rows with the same doc_id count as one document in links; each row gets a result row.
@@ -37,7 +38,9 @@ RATE = 20.0
 TOP = 65535
 #: Estimates this far below the limit are not confirmed: over five standard deviations of REGISTERS registers.
 MARGIN = 0.15
-BLOCK = 1024
+BLOCK = 512
+#: A worker keeps so many words' hashes.
+MOST_WORDS = 1_000_000
 _U = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -52,7 +55,7 @@ class _Words(dict):
     """Words' 63-bit hashes."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > MOST_WORDS:
             self.clear()
         self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1
         return h
@@ -95,17 +98,20 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     items = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(sets)), sizes)
     arrival = np.zeros(len(items))
-    draw = 0
+    drawn = 0
     while len(items):
-        # Each element's values arrive in ascending order, at registers drawn with replacement; later ones than all of a set's registers don't matter.
-        draw += 1
-        h = _mix(items + _U(draw * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        arrival += -np.log(((h >> _U(11)).astype(np.float64) + 1.0) * 2.0**-53) / (m * RATE)
+        # An element's values arrive in ascending order, at registers drawn with replacement; those later than all of a set's registers don't
+        # matter. The few elements that go on for long, those of small sets, draw many values at once.
+        many = 1 if drawn < 4 else 8 if drawn < 36 else 64
+        seeds = (np.arange(drawn + 1, drawn + 1 + many, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))[None, :]
+        drawn += many
+        h = _mix(items[:, None] + seeds)
+        steps = -np.log(((h >> _U(11)).astype(np.float64) + 1.0) * 2.0**-53) / (m * RATE)
+        times = arrival[:, None] + np.cumsum(steps, axis=1)
         register = ((_mix(h) >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
-        np.minimum.at(values, row * m + register, arrival)
-        if draw <= 8 or draw % 8 == 0:
-            going = arrival < values.reshape(-1, m).max(1)[row]
-            items, row, arrival = items[going], row[going], arrival[going]
+        np.minimum.at(values, ((row * m)[:, None] + register).ravel(), times.ravel())
+        going = times[:, -1] < values.reshape(-1, m).max(1)[row]
+        items, row, arrival = items[going], row[going], times[going, -1]
     level = np.floor(1 - np.log(np.where(np.isinf(values), 1e9, values)) / np.log(BASE))
     return np.clip(level, 0, TOP).astype(np.uint16).reshape(-1, m)
 
@@ -159,11 +165,15 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids, pa.string()), pa.array([r.tobytes() for r in registers], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=names)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketch and full set of documents that share a bucket with others."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             few = batch.slice(at, 500)
-            yield pa.RecordBatch.from_arrays([few.column(0), pa.array([x.tobytes() for x in shingle_sets(few.column(1).to_pylist())], pa.binary())], names=["node", "members"])
+            sets = shingle_sets(few.column(1).to_pylist())
+            registers = sketch(sets)
+            columns = [few.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([r.tobytes() for r in registers], pa.binary()), pa.array([k.tobytes() for k in _band_keys(registers)], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "registers", "keys", "members"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,53 +200,80 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _across(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by bucket and pair of blocks; of each such group, the pairs of nodes of different components that the
-    sketches find similar enough: all of them, or the best of each two components. A group has 2 * BLOCK rows or so."""
-    least = SIMILAR[0] / SIMILAR[1] - MARGIN
+def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements of each other set are in the first; both sorted."""
+    if not len(one):
+        return np.zeros(len(others), np.int64)
+    flat = np.concatenate(others)
+    place = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    return np.add.reduceat((one[place] == flat).astype(np.int64), np.cumsum([0, *(len(x) for x in others[:-1])]))
 
-    def of(nodes: np.ndarray, label: np.ndarray, block: np.ndarray | None, n: np.ndarray, regs: np.ndarray) -> list[tuple[int, int]]:
-        found: dict[tuple, tuple] = {}
-        out = []
-        for i in range(len(nodes) - 1):
-            ok = (label[i + 1 :] != label[i]) & (np.minimum(n[i + 1 :], n[i]) * SIMILAR[1] >= np.maximum(n[i + 1 :], n[i]) * SIMILAR[0])
-            if block is not None:
-                ok &= block[i + 1 :] != block[i]
-            j = np.flatnonzero(ok) + i + 1
-            if len(j):
-                j = j[(regs[j] == regs[i]).mean(1) >= least - 0.05]
-            if not len(j):
-                continue
-            similar = estimate(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), float(n[i])), n[j].astype(float))
-            for at, value in zip(j[similar >= least].tolist(), similar[similar >= least].tolist()):
-                pair = (int(min(nodes[i], nodes[at])), int(max(nodes[i], nodes[at])))
-                two = pair if every else (min(label[i], label[at]), max(label[i], label[at]))
-                found[two] = max(found.get(two, (-1.0, 0, 0)), (value, *pair))
-        out += [(a, b) for _, a, b in found.values()]
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in chain(batches, [None]):
-            if batch is not None and not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch]) if batch is not None else None
-            table = pa.concat_tables([x for x in (held, table) if x is not None]).combine_chunks() if held is not None or table is not None else None
-            if table is None:
-                continue
-            keys = [table.column(k).to_numpy() for k in ("band", "low", "high")]
-            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            bounds = [0, *cuts.tolist(), *([table.num_rows] if batch is None else [])]
-            held = None if batch is None else table.slice(bounds[-1])
-            nodes, label, block, n = (table.column(k).to_numpy() for k in ("node", "label", "block", "n"))
-            regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            pairs: set[tuple[int, int]] = set()
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                pairs.update(of(nodes[a:b], label[a:b], None if keys[1][a] == keys[2][a] else block[a:b], n[a:b], regs[a:b]))
-            rows = sorted(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
-
-    return run
+
+def _links(group: dict[str, np.ndarray], members: list, within: bool) -> list[tuple[int, int]]:
+    """Links between different components in a bucket (or between two blocks of a large one), one for each two components: the sketches'
+    estimate chooses whom to compare, the full sets decide. Two nodes are compared in the first bucket that they share, and not
+    again once their components are known to be linked."""
+    part, whole = SIMILAR
+    least = part / whole - MARGIN
+    node, label, block, n = (group[k] for k in ("node", "label", "block", "n"))
+    registers, keys = group["registers"], group["keys"]
+    band = int(np.argmax(keys[0] == group["band"][0]))
+    joined: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    out = []
+    for i in range(len(node) - 1):
+        ok = (label[i + 1 :] != label[i]) & (np.minimum(n[i + 1 :], n[i]) * whole >= np.maximum(n[i + 1 :], n[i]) * part)
+        if not within:
+            ok &= block[i + 1 :] != block[i]
+        j = np.flatnonzero(ok) + i + 1
+        if len(j):
+            j = j[~(keys[j, :band] == keys[i, :band]).any(1)]
+        if len(j):
+            j = j[(registers[j] == registers[i]).mean(1) >= least - 0.05]
+        if len(j):
+            j = j[estimate(np.broadcast_to(registers[i], (len(j), REGISTERS)), registers[j], np.full(len(j), float(n[i])), n[j].astype(float)) >= least]
+        mine = root(int(label[i]))
+        j = np.array([x for x in j.tolist() if root(int(label[x])) != mine], np.int64)
+        if not len(j):
+            continue
+        both = _common(np.frombuffer(members[i], np.uint64), [np.frombuffer(members[x], np.uint64) for x in j.tolist()])
+        for x in j[whole * both >= part * (n[i] + n[j] - both)].tolist():
+            other, mine = root(int(label[x])), root(int(label[i]))
+            if other != mine:
+                joined[max(other, mine)] = min(other, mine)
+                out.append((int(min(node[i], node[x])), int(max(node[i], node[x]))))
+    return out
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket and pair of blocks; each such group, of 2 * BLOCK rows or so, gives its links."""
+    held: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        parts = [x for x in (held, pa.Table.from_batches([batch]) if batch is not None and batch.num_rows else None) if x is not None]
+        if not parts:
+            continue
+        table = pa.concat_tables(parts).combine_chunks()
+        keys = [table.column(k).to_numpy() for k in ("band", "low", "high")]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        bounds = [0, *cuts.tolist(), *([table.num_rows] if batch is None else [])]
+        held = None if batch is None else table.slice(bounds[-1])
+        done = table.slice(0, bounds[-1])
+        if not done.num_rows:
+            continue
+        columns = {k: done.column(k).to_numpy() for k in ("band", "node", "label", "block", "n")}
+        columns["registers"] = np.frombuffer(b"".join(done.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        columns["keys"] = np.frombuffer(b"".join(done.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
+        members = [x.as_buffer() for x in done.column("members")]
+        links: set[tuple[int, int]] = set()
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            links.update(_links({k: v[a:b] for k, v in columns.items()}, members[a:b], keys[1][a] == keys[2][a]))
+        rows = sorted(links)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
 
 def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -281,41 +318,27 @@ def link_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     best = Window.partitionBy("node").orderBy(F.desc("shared"), "least")
     pairs = stars.withColumn("k", F.row_number().over(best)).filter("k <= 2").select(F.col("least").alias("a"), F.col("node").alias("b"))
 
-    members = crowded.select("node").distinct()
-    wanted = settle(spark, members, "members")
-    few = bounded(wanted.withColumnRenamed("node", "doc_id"))
-    heads_text = rows.join(few, "doc_id", "left_semi")
-    sets = settle(spark, heads_text.mapInArrow(_sets, "node long, members binary"), "sets")
-    kept = settle(spark, heads.join(bounded(wanted), "node", "left_semi").select("node", "n", "registers").dropDuplicates(["node"]), "registers")
-
-    def confirm(found: DataFrame) -> DataFrame:
-        """(a, b, linked) of pairs, by their full sets."""
-        one = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
-        two = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-        return settle(spark, found.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long, linked boolean"), "confirmed")
-
-    one = kept.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
-    two = kept.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
+    wanted = settle(spark, crowded.select("node").distinct(), "members")
+    heads_text = rows.join(bounded(wanted.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
+    kept = settle(spark, heads_text.mapInArrow(_whole, "node long, n long, registers binary, keys binary, members binary"), "candidates")
+    one, two = (kept.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("registers").alias(f"r_{k}")) for k in "ab")
     likely = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely, "a long, b long")
-    tried = confirm(likely)
-    labels = components(spark, wanted, tried.filter("linked").select("a", "b"))
-
-    # Then whatever buckets still hold several components.
-    for every in (False, True):
-        labels = settle(spark, labels, "components")
-        inside = crowded.join(labels, "node").select("band", "node", "label")
-        mixed = inside.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low < high")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        open_rows = inside.join(mixed.select("band", "size"), "band").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        dealt = open_rows.select("band", "node", "label", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).join(kept, "node")
-        dealt = dealt.select("band", "low", "high", "node", "label", "block", "n", "registers").repartition(partitions(spark), "band", "low", "high").sortWithinPartitions("band", "low", "high")
-        found = dealt.mapInArrow(_across(every), "a long, b long").distinct()
-        found = found.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        more = confirm(found)
-        tried = tried.unionByName(more)
-        if more.filter("linked").limit(1).count():
-            labels = components(spark, wanted, tried.filter("linked").select("a", "b"))
+    one, two = (kept.select(F.col("node").alias(k), F.col("members").alias(f"m_{k}")) for k in "ab")
+    confirmed = likely.join(one, "a").join(two, "b").select("a", "b", "m_a", "m_b").mapInArrow(_confirmed, "a long, b long, linked boolean")
+    edges = settle(spark, confirmed.filter("linked").select("a", "b"), "edges")
+    labels = settle(spark, components(spark, wanted, edges), "components")
+
+    # Then the buckets that still hold several components, with the full sets.
+    inside = crowded.join(labels, "node").select("band", "node", "label")
+    mixed = inside.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low < high")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    open_rows = inside.join(mixed.select("band", "size"), "band").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = open_rows.select("band", "node", "label", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).join(kept, "node")
+    dealt = dealt.select("band", "low", "high", "node", "label", "block", "n", "registers", "keys", "members").repartition(partitions(spark), "band", "low", "high").sortWithinPartitions("band", "low", "high")
+    more = settle(spark, dealt.mapInArrow(_across, "a long, b long"), "more-edges")
+    if more.limit(1).count():
+        labels = components(spark, wanted, edges.unionByName(more).distinct())
 
     named = class_of.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("label"))
     result = sketched.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(named, "set_id", "left")
