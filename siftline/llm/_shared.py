@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Up to so many rows of a few numbers are broadcast, after they have been counted.
 BROADCAST_ROWS = 2_000_000
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -48,6 +49,15 @@ def settle(spark: SparkSession, frame: DataFrame, tag: str, path: str | None = N
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python BATCH_ROWS and BATCH_BYTES at a time, or fewer if the session says so: whole texts can be long, and several
+    workers share an executor's memory."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, most)
+
+
 def bounded(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A narrow table, marked for broadcast if its counted rows are few enough; beyond that Spark shuffles both sides."""
     return F.broadcast(frame) if frame.count() <= rows else frame

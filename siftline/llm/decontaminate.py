@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._shared import text_of
+from siftline.llm._shared import small_batches, text_of
 
 WINDOW = 13
 SHARD_WORDS = 2_000_000
@@ -200,6 +200,7 @@ def _locations(shared):
 
 def _test_set(spark: SparkSession, benchmark: DataFrame, window: int):
     """The query set, on every executor once. Its size is checked before it is sent."""
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of().alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > MAX_BENCHMARK_BYTES:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._shared import partitions, text_of
+from siftline.llm._shared import partitions, small_batches, text_of
 
 MODULI = (2147483647, 2147483629)
 BASES = (1_103_515_245, 69_621_337)
@@ -209,4 +209,5 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """For each row its fingerprint, that of its edited text (the last half replaced by the next document's beginning), and the
     likeness of its fingerprint to the edited text's and to the next document's."""
+    small_batches(spark)
     return with_next(spark, documents).mapInArrow(_pairs, _SCHEMA)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm._shared import bounded, drop_path, fresh_path, partitions, settle, text_of
+from siftline.llm._shared import bounded, drop_path, fresh_path, partitions, settle, small_batches, text_of
 
 SHINGLE = 5
 SIMILAR = (85, 100)
@@ -40,7 +40,7 @@ TOP = 65535
 MARGIN = 0.15
 BLOCK = 512
 #: A worker keeps so many words' hashes.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 250_000
 _U = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -152,7 +152,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, at = batch.column(1), 0
         while at < batch.num_rows:
             few, size, first = [], 0, at
-            while at < batch.num_rows and size < 2_000_000:
+            while at < batch.num_rows and size < 250_000:
                 few.append(texts[at].as_py())
                 size += len(few[-1] or "")
                 at += 1
@@ -302,6 +302,7 @@ def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataF
 
 def link_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
+    small_batches(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sketched = settle(spark, rows.mapInArrow(_sketches, "doc_id long, n long, set_id string, registers binary, bands array<long>"), "sketches")
     class_of = sketched.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"))

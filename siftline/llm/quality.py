@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._shared import bounded, settle, text_of
+from siftline.llm._shared import bounded, settle, small_batches, text_of
 
 FEATURES = 256
 WIDTH = 6.0
@@ -117,6 +117,7 @@ def _fold() -> F.Column:
 
 def fit(spark: SparkSession, described: DataFrame, labels: DataFrame) -> Model:
     """Fit on described documents (doc_id, x) that have labels and are not held out."""
+    small_batches(spark)
     marks = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     rows = settle(spark, described.join(marks, "doc_id").select("x", "y", _fold().alias("fold")).filter("fold <> 2"), "labelled")
     d = len(STATISTICS)
@@ -160,6 +161,7 @@ def fit(spark: SparkSession, described: DataFrame, labels: DataFrame) -> Model:
 
 def score_documents(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted (1 if score >= THRESHOLD)."""
+    small_batches(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     described = settle(spark, rows.mapInArrow(_statistics, "doc_id long, x array<double>"), "statistics")
     model = fit(spark, described, labels)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm._shared import fresh_path, partitions, settle, text_of
+from siftline.llm._shared import fresh_path, partitions, settle, small_batches, text_of
 
 END_ID = 2
 INDEX_ROWS = 1000
@@ -108,6 +108,7 @@ def _encoding(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 def write_tokens(spark: SparkSession, documents: DataFrame, vocabulary: str, path: str, end: int = END_ID) -> None:
     """Encode whole texts and write ORC files in ascending doc_id."""
+    small_batches(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = rows.repartitionByRange(partitions(spark), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     encoded = rows.mapInArrow(_encoding(vocabulary, end), "doc_id long, ids array<int>")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._shared import fresh_path, partitions, settle
+from siftline.llm._shared import fresh_path, partitions, settle, small_batches
 
 MIN_REVISIT = 100
 DICTIONARY_BYTES = 64 << 10
@@ -135,6 +135,7 @@ def _writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
     """Write the archives; the manifest (page_id, path, place, length) has a row for each record."""
+    small_batches(spark)
     return settle(spark, with_targets(pages).mapInArrow(_writer(folder), "page_id long, path string, place long, length long"), "warc-manifest")
 
 
