@@ -16,17 +16,32 @@ def new_only(batch: DataFrame, seen: DataFrame, key: str = "content_hash", order
     return unseen.join(first, [key, order], "left_semi").unionByName(batch.filter(F.col(key).isNull() | (F.col(key) == "")), allowMissingColumns=True)
 
 
+def _smallest(hashed: DataFrame) -> DataFrame:
+    """(simhash, doc_id): the smallest document of each hash. Nulls go after the count, as a filter on the hash itself would be pushed
+    below, where it computes each hash twice."""
+    return hashed.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count("simhash").alias("n")).filter("n > 0").select("simhash", "doc_id")
+
+
 def near_links(hashed: DataFrame, most: int = 3, parts: int = 4) -> DataFrame:
     """(doc_id, simhash, near_id, distance): for each different hash its smallest document, linked to the smallest of each other hash within
     `most` bits. Two hashes that near agree in a part, as there are more parts than bits that may differ; equal hashes are one row before
     parts are joined, so copies make no pairs."""
-    one = hashed.filter("simhash is not null").groupBy("simhash").agg(F.min("doc_id").alias("doc_id"))
+    one = _smallest(hashed)
     dealt = one.select("doc_id", "simhash", F.explode(bands(F.col("simhash"), parts)).alias("b")).select("doc_id", "simhash", "b.band", "b.value")
     other = dealt.select(F.col("doc_id").alias("near_id"), F.col("simhash").alias("near_hash"), "band", "value")
     pairs = dealt.join(other, ["band", "value"]).filter("doc_id < near_id").withColumn("distance", hamming(F.col("simhash"), F.col("near_hash")))
     return pairs.filter(F.col("distance") <= most).select("doc_id", "near_id", "distance").distinct()
 
 
+def hash_members(hashed: DataFrame) -> DataFrame:
+    """(doc_id, near_id, distance): each document whose hash a smaller one has too, as near_id of the smallest one, at distance 0. With
+    `near_links` these rows give every link: two documents are near if their smallest ones are the same or linked. One row a document, as
+    copies are not paired with each other."""
+    held = hashed.select(F.col("doc_id").alias("near_id"), F.col("simhash").alias("near_hash"))
+    pairs = held.join(_smallest(hashed), F.col("near_hash").eqNullSafe(F.col("simhash"))).filter("doc_id < near_id")
+    return pairs.select("doc_id", "near_id", F.lit(0).alias("distance")).distinct()
+
+
 def winner_order() -> list[Column]:
     """Trusted dates first, then the earliest, the more trusted source, the longer body, the smallest id."""
     trusted = (F.col("precision") != "unknown").cast("int")

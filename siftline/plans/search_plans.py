@@ -287,7 +287,7 @@ def dedup_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftline.functions.text import normalize, simhash
 
     hashed = table(spark, sf_dir, "documents").select("doc_id", simhash(normalize(F.coalesce("text", F.lit("")))).alias("simhash"))
-    return dedup.near_links(hashed)
+    return dedup.near_links(hashed).unionByName(dedup.hash_members(hashed))
 
 
 @plan

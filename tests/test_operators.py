@@ -51,6 +51,26 @@ def test_dedup(spark):
     assert tuple(dedup.winners(c).first()) == ("c", 3, 9, 3)
 
 
+def test_members_and_links_as_all_pairs(spark):
+    rows = [(1, 0), (2, 7), (3, -1), (4, 0), (5, 15), (6, None), (7, 7), (8, 0), (9, None), (10, 1 << 40), (4, 0)]
+    hashed = spark.createDataFrame(rows, "doc_id long, simhash long")
+    links, members = ({(r.doc_id, r.near_id, r.distance) for r in f(hashed).collect()} for f in (dedup.near_links, dedup.hash_members))
+    assert members == {(1, 4, 0), (1, 8, 0), (2, 7, 0)} and dedup.hash_members(hashed).count() == 3
+    stands_for = {d: d for d, h in rows if h is not None} | {b: a for a, b, _ in members}
+    linked = {(a, b): d for a, b, d in links}
+    got = {(x, y, d) for x in stands_for for y in stands_for if x < y and (d := 0 if stands_for[x] == stands_for[y] else linked.get(tuple(sorted((stands_for[x], stands_for[y]))))) is not None}
+    apart = lambda x, y: bin((x ^ y) & 0xFFFFFFFFFFFFFFFF).count("1")
+    assert got == {(x, y, apart(h, k)) for x, h in rows for y, k in rows if None not in (h, k) and x < y and apart(h, k) <= 3}
+
+
+def test_near_query_links_copies(spark, tmp_path):
+    from siftline import catalog
+
+    words = " ".join(f"w{k}" for k in range(40))
+    spark.createDataFrame([(1, words), (2, words.upper()), (3, "too few"), (4, words)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in catalog.queries()["dedup_near"](spark, str(tmp_path)).collect()} == {(1, 2, 0), (1, 4, 0)}
+
+
 def test_measures(spark):
     golden = spark.createDataFrame([(1, "a", 3), (1, "b", 1), (2, "c", 0), (3, "d", 2)], "query_id long, doc_id string, grade int")
     results = spark.createDataFrame([(1, "x", 1), (1, "a", 2), (2, "c", 1)], "query_id long, doc_id string, pos int")
