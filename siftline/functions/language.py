@@ -24,10 +24,10 @@ _DROP = re.compile(f"[{INVISIBLE}{DIACRITICS}{TATWEEL}]|(?![\t\n\x0b\x0c\r\x85])
 _DIGITS, _LETTERS = str.maketrans(*DIGITS), str.maketrans(*LETTERS)
 
 
-def normal(text: str) -> str:
+def normal(text: str, most: int | None = None) -> str:
     """What `text.normalize` gives, for one string."""
     text = _DROP.sub("", unicodedata.normalize("NFKC", text)).translate(_DIGITS).lower()
-    return " ".join(unicodedata.normalize("NFKC", text).split())[:200_000].rstrip()
+    return " ".join(unicodedata.normalize("NFKC", text).split())[:most].rstrip()
 
 
 def folded(text: str) -> str:

@@ -29,10 +29,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _native(c: Column) -> Column:
+def _native(c: Column, most: int | None = None) -> Column:
     """Normalising of text that compatibility composition leaves as it is."""
     c = F.lower(F.translate(F.regexp_replace(c, _REMOVED, ""), *DIGITS))
-    return F.rtrim(F.left(F.trim(F.regexp_replace(c, _SPACE, " ")), F.lit(MOST_CHARS)))
+    c = F.trim(F.regexp_replace(c, _SPACE, " "))
+    return c if most is None else F.rtrim(F.left(c, F.lit(most)))
 
 
 @arrow("string")
@@ -40,11 +41,11 @@ def _composed(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
-def normalize(c: Column) -> Column:
+def normalize(c: Column, most: int | None = None) -> Column:
     """Compatibility-composed, without invisible marks, tatweel and diacritics, with plain digits, lower case and single spaces. Only
-    text beyond ASCII goes through Python."""
+    text beyond ASCII goes through Python. `most` cuts the result to so many characters, as a guard for requests (MOST_CHARS)."""
     other = F.when(~c.rlike(r"^[\x00-\x7F]*$"), c)
-    return F.coalesce(_native(_composed(_native(_composed(other)))), _native(c))
+    return F.coalesce(_native(_composed(_native(_composed(other))), most), _native(c, most))
 
 
 def fold(c: Column) -> Column:

@@ -24,6 +24,21 @@ def test_normalize_as_its_rules(spark):
     assert column(spark, ["الجَزَائِر ٢٠٢٦"], text.normalize) == ["الجزائر 2026"]
 
 
+def test_whole_texts_are_normalised(spark, tmp_path):
+    from siftline import catalog
+
+    head = "ab " * 70_000
+    for one, two in ((head + "xx", head + "yy and the end"), (head + "é xx", head + "é yy and the end")):
+        assert column(spark, [one, two], text.normalize) == [one, two] == [language.normal(one), language.normal(two)]
+        assert column(spark, [one], lambda c: text.normalize(c, text.MOST_CHARS)) == [one[: text.MOST_CHARS].rstrip()] == [language.normal(one, text.MOST_CHARS)]
+        assert len({*column(spark, [one, two], text.content_hash)}) == 2
+        assert column(spark, [one, two], lambda c: F.size(text.tokens(text.fold(c)))) == [len(one.split()), len(two.split())]
+        assert column(spark, [two], text.fold_plain)[0].endswith("the end")
+    rows = [(1, head + "xx", "en", "src1", 210_002), (2, head + "the", "en", "src1", 210_003)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.doc_id for r in catalog.queries()["search_exclusion"](spark, str(tmp_path)).collect()] == [1]
+
+
 @given(st.text(max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_normal_is_idempotent_and_fold_refines_it(s):
