@@ -39,7 +39,8 @@ class Engine:
             queries = self.spark.createDataFrame([(0, " ".join([*parsed.terms, *parsed.phrases]))], "query_id long, query string")
         if filters:
             docs = docs.withColumn("published_at_precision", F.col("precision")).filter(filters.predicate()).drop("published_at_precision")
-        hits = search.retrieve(search.query_terms(queries), search.postings(docs), docs)
+        index = search.postings(docs)
+        hits = search.retrieve(search.with_typos(search.query_terms(queries), search.vocabulary(index)), index, docs)
         hits = hits.select("query_id", "doc_id", "pos").join(docs.drop("body"), "doc_id").join(F.broadcast(queries), "query_id")
         return search.page_of(rank.rerank(hits, self.trust, self.now, self.weights), page, per_page)
 

@@ -25,6 +25,11 @@ def test_search_syntax_end_to_end(spark):
     assert e.facets(["domain"]).count() == 2
 
 
+def test_search_forgives_typos_in_titles_and_bodies(spark):
+    ids = lambda q: [r.doc_id for r in make(spark).search(q).orderBy("rank").collect()]
+    assert ids("voitures") == [3] and ids("colours") == [2] and ids("rouje") == [3] and ids("cat") == []
+
+
 def test_ingest(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<article><p>" + "long words here " * 30 + "</p><a href='/x'>x</a></article>"), (2, "http://b/", "<p>few</p>")], "page_id long, url string, html string")
     good, links, refused = make(spark).ingest(pages)
