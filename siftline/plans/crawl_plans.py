@@ -169,7 +169,7 @@ SELECT user_id, CAST(epoch(date_trunc('second', min(ts))) AS BIGINT) AS start_s,
 @plan
 def queue_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    payload = F.when(F.col("doc_id") % 7 == 0, F.lit("[1, 2]")).when(F.col("doc_id") % 7 == 1, F.to_json(F.struct(F.lit("").alias("id"), F.left("text", F.lit(50)).alias("body")))).when(F.col("doc_id") % 7 == 2, F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit(" ").alias("body")))).otherwise(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.left("text", F.lit(50)).alias("body"))))
+    payload = F.when(F.col("doc_id") % 7 == 0, F.lit("[1, 2]")).when(F.col("doc_id") % 7 == 1, F.to_json(F.struct(F.lit("").alias("id"), F.col("text").alias("body")))).when(F.col("doc_id") % 7 == 2, F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit(" ").alias("body")))).otherwise(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"))))
     return d.select(F.coalesce(job_error(payload), F.lit("ok")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 

@@ -96,3 +96,12 @@ def test_batches_close_by_rows_and_bytes(spark):
     got = sinks.batches(jobs, lanes=1).groupBy("batch").agg({"*": "count", "bytes": "sum"}).collect()
     assert all(r["count(1)"] <= 500 and r["sum(bytes)"] <= 4 << 20 for r in got) and sum(r["count(1)"] for r in got) == 1200
     assert sinks.settings_diff({"a": 1, "b": [1]}, {"a": 1, "b": [2]}) == {"b": ([1], [2])}
+
+
+def test_queue_validates_whole_texts(spark, tmp_path):
+    from siftline import catalog
+
+    rows = [(3, "x" * (2 << 20)), (4, " " * 60 + "late words"), (5, " " * 60), (6, None), (10, "words"), (1, "x" * (2 << 20)), (8, "words"), (7, "words"), (2, "words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.reason: r.n for r in catalog.queries()["queue_validation"](spark, str(tmp_path)).collect()}
+    assert got == {"too_large": 2, "ok": 2, "empty": 3, "missing_id": 1, "not_an_object": 1}
