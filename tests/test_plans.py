@@ -60,3 +60,9 @@ def test_typos_as_all_pairs(spark):
     words = {r[0] for r in search.postings(base.crawled(spark, DATA), ("title",)).select(F.col("term")).distinct().collect()}
     want = {(q, t, w, d) for q, t in terms for w in words if t[0] == w[0] and (d := distance(t, w)) <= (2 if len(t) >= 9 else 1 if len(t) >= 4 else 0)}
     assert {tuple(r) for r in catalog.queries()["search_typos"](spark, DATA).collect()} == want
+
+
+def test_ranges_of_all_suppliers(spark, tmp_path):
+    spark.createDataFrame([(1, 915.0), (2, 1425.0), (3, 10900.0)], "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1,), (51,), (1000,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert {tuple(r) for r in catalog.queries()["rel_range"](spark, str(tmp_path)).collect()} == {(1, 1), (51, 1), (1000, 1)}
