@@ -50,7 +50,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._all = Tokenizer.from_file(path)
-        self._all.encode_special_tokens = True
         self._model = self._all.model
         self._symbols = dict(enumerate(_byte_symbols()))
         outer = self

@@ -106,6 +106,18 @@ def test_units_encode_any_text(text):
     assert encoder.encode(text) == encoder.whole(text)
 
 
+def test_units_encode_as_the_library_by_default():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder, mark = Tokenizer.from_file(path), token_orc._encoder(path), "<|endoftext|>"
+    assert library.encode(mark, add_special_tokens=False).ids == [50256]
+    texts = [f.replace("@", mark) for f in ("foo @ bar", "@", "a@b", "a @", "@ b", "x.@", "@.", "@,a.b,c", "a\n@\nb", "a  @  b", "@@ @", "\n\n@ a", "_@_.", "a\t@\tb", "<@>", "a. @ b, c")] + ["<|endof text|>", "< |endoftext|>"]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files_round_trip(spark, documents, rows):
     import public_tokenizers
 
