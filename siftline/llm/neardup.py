@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -176,8 +177,8 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "registers", "keys", "members"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, whole = SIMILAR
+def _confirmed(batches: Iterator[pa.RecordBatch], limit: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    part, whole = limit
     for batch in batches:
         keep = []
         for one, other in zip(batch.column(2), batch.column(3)):
@@ -189,8 +190,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    least = SIMILAR[0] / SIMILAR[1] - MARGIN
+def _likely(batches: Iterator[pa.RecordBatch], limit: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    least = limit[0] / limit[1] - MARGIN
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -209,11 +210,11 @@ def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((one[place] == flat).astype(np.int64), np.cumsum([0, *(len(x) for x in others[:-1])]))
 
 
-def _links(group: dict[str, np.ndarray], members: list, within: bool) -> list[tuple[int, int]]:
+def _links(group: dict[str, np.ndarray], members: list, within: bool, limit: tuple[int, int]) -> list[tuple[int, int]]:
     """Links between different components in a bucket (or between two blocks of a large one), one for each two components: the sketches'
     estimate chooses whom to compare, the full sets decide. Two nodes are compared in the first bucket that they share, and not
     again once their components are known to be linked."""
-    part, whole = SIMILAR
+    part, whole = limit
     least = part / whole - MARGIN
     node, label, block, n = (group[k] for k in ("node", "label", "block", "n"))
     registers, keys = group["registers"], group["keys"]
@@ -250,7 +251,7 @@ def _links(group: dict[str, np.ndarray], members: list, within: bool) -> list[tu
     return out
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], limit: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket and pair of blocks; each such group, of 2 * BLOCK rows or so, gives its links."""
     held: pa.Table | None = None
     for batch in chain(batches, [None]):
@@ -271,7 +272,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members = [x.as_buffer() for x in done.column("members")]
         links: set[tuple[int, int]] = set()
         for a, b in zip(bounds[:-1], bounds[1:]):
-            links.update(_links({k: v[a:b] for k, v in columns.items()}, members[a:b], keys[1][a] == keys[2][a]))
+            links.update(_links({k: v[a:b] for k, v in columns.items()}, members[a:b], keys[1][a] == keys[2][a], limit))
         rows = sorted(links)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
@@ -300,8 +301,9 @@ def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataF
     return alone
 
 
-def link_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
+def link_documents(spark: SparkSession, documents: DataFrame, limit: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Per row: doc_id, n_shingles and component_id, the smallest doc_id that links reach. Sets of a similarity of limit[0] / limit[1] or more
+    are linked; bands miss a pair at 0.8 with a probability of about 3e-6, and more below."""
     small_batches(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sketched = settle(spark, rows.mapInArrow(_sketches, "doc_id long, n long, set_id string, registers binary, bands array<long>"), "sketches")
@@ -323,9 +325,9 @@ def link_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     heads_text = rows.join(bounded(wanted.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
     kept = settle(spark, heads_text.mapInArrow(_whole, "node long, n long, registers binary, keys binary, members binary"), "candidates")
     one, two = (kept.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("registers").alias(f"r_{k}")) for k in "ab")
-    likely = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely, "a long, b long")
+    likely = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(partial(_likely, limit=limit), "a long, b long")
     one, two = (kept.select(F.col("node").alias(k), F.col("members").alias(f"m_{k}")) for k in "ab")
-    confirmed = likely.join(one, "a").join(two, "b").select("a", "b", "m_a", "m_b").mapInArrow(_confirmed, "a long, b long, linked boolean")
+    confirmed = likely.join(one, "a").join(two, "b").select("a", "b", "m_a", "m_b").mapInArrow(partial(_confirmed, limit=limit), "a long, b long, linked boolean")
     edges = settle(spark, confirmed.filter("linked").select("a", "b"), "edges")
     labels = settle(spark, components(spark, wanted, edges), "components")
 
@@ -337,7 +339,7 @@ def link_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     dealt = open_rows.select("band", "node", "label", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).join(kept, "node")
     dealt = dealt.select("band", "low", "high", "node", "label", "block", "n", "registers", "keys", "members").repartition(partitions(spark), "band", "low", "high").sortWithinPartitions("band", "low", "high")
-    more = settle(spark, dealt.mapInArrow(_across, "a long, b long"), "more-edges")
+    more = settle(spark, dealt.mapInArrow(partial(_across, limit=limit), "a long, b long"), "more-edges")
     if more.limit(1).count():
         labels = components(spark, wanted, edges.unionByName(more).distinct())
 
@@ -346,9 +348,9 @@ def link_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
+def drop_near_duplicates(spark: SparkSession, documents: DataFrame, limit: tuple[int, int] = SIMILAR) -> DataFrame:
     """The documents, all columns, with one document of each group: that with the smallest doc_id. Rows that repeat its doc_id are the same document and stay."""
-    linked = link_documents(spark, documents)
+    linked = link_documents(spark, documents, limit)
     drop = linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = documents.join(bounded(settle(spark, drop, "gone")), documents["doc_id"] == F.col("_gone"), "left_anti")
     return kept

@@ -202,6 +202,16 @@ def test_near_duplicates_as_all_pairs(spark, documents, rows):
     assert all(r.component_id == want[r.doc_id] and r.n_shingles == sizes[r.doc_id] for r in got)
 
 
+def test_links_hold_to_the_limit_given(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = base[:98] + ["x1", "x2"]  # 94 of 98 shingles are common
+    far = base[:92] + [f"y{k}" for k in range(8)]  # 88 of 104
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(far)), (3, " ".join(near))], "doc_id long, text string")
+    label = lambda *limit: {r.doc_id: r.component_id for r in neardup.link_documents(spark, docs, *limit).collect()}
+    assert label() == {1: 1, 2: 2, 3: 1} and label((80, 100)) == {1: 1, 2: 1, 3: 1}
+    assert {r.doc_id for r in neardup.drop_near_duplicates(spark, docs, (80, 100)).collect()} == {1}
+
+
 def test_groups_of_near_copies(spark):
     import random
 
