@@ -61,6 +61,74 @@ def test_fingerprints_of_documents(spark, documents, rows):
     assert all(len(p) == 1 for p in prints.values()) and len({*map(tuple, prints.values())}) == len(prints)
 
 
+def _plain_cover(a, b):
+    """The code points of a that left-to-right maximal matches with b cover, by plain searches."""
+    n = min(fingerprint.SPAN, len(a))
+    starts = list(range(0, len(a) - n + 1, n)) if n and len(b) >= n else []
+    if starts and starts[-1] + n < len(a):
+        starts.append(len(a) - n)
+    covered, reached = set(), 0
+    for i in starts:
+        j = b.find(a[i : i + n])
+        if j < 0 or i + n <= reached:
+            continue
+        left = right = 0
+        while left < min(i, j) and a[i - 1 - left] == b[j - 1 - left]:
+            left += 1
+        while i + right < len(a) and j + right < len(b) and a[i + right] == b[j + right]:
+            right += 1
+        reached = i + right
+        covered |= set(range(i - left, reached))
+    return len(covered)
+
+
+def _plain_likeness(a, b):
+    return 1.0 if a == b else (_plain_cover(a, b) + _plain_cover(b, a)) / (len(a) + len(b))
+
+
+@given(st.lists(st.sampled_from(["the of and ", "alpha", "beta ", "gamma delta ", "é日𝒳", "lorem ipsum dolor "]), max_size=25), st.lists(st.sampled_from(["the of and ", "alpha", "x", "gamma delta "]), max_size=25), st.data())
+@settings(max_examples=120, deadline=None)
+def test_likeness_as_plain_searches(one, other, data):
+    a = "".join(one)
+    b = a[: data.draw(st.integers(0, len(a)))] + "".join(other)
+    x, y = fingerprint.PrefixHashes(a), fingerprint.PrefixHashes(b)
+    assert fingerprint.likeness(x, y) == pytest.approx(_plain_likeness(a, b)) == fingerprint.likeness(y, x)
+    stop, length = data.draw(st.integers(0, len(a))), data.draw(st.integers(0, len(b)))
+    joined, whole = fingerprint.PrefixHashes.joined(x, stop, y, length), fingerprint.PrefixHashes(a[:stop] + b[:length])
+    assert fingerprint.written(fingerprint.sketch(joined)) == fingerprint.written(fingerprint.sketch(whole))
+    at, place = data.draw(st.integers(0, len(a))), data.draw(st.integers(0, len(b)))
+    back = 0
+    while back < min(at, place) and a[at - 1 - back] == b[place - 1 - back]:
+        back += 1
+    assert x.extension_back(at, y, place) == back
+
+
+def test_matches_are_maximal_and_true():
+    a, b = "zz" + "common run of text that both have " * 3 + "end", "other start common run of text that both have common run of"
+    for start, at, length in fingerprint.PrefixHashes(a).matches(fingerprint.PrefixHashes(b)):
+        assert a[start : start + length] == b[at : at + length]
+        assert not (start and at and a[start - 1] == b[at - 1])
+        assert start + length == len(a) or at + length == len(b) or a[start + length] != b[at + length]
+
+
+@pytest.mark.parametrize("high", [0, 2**60])
+def test_every_row_has_its_successor(spark, high):
+    """Null ids, ids beyond what a double holds, ids that a third of all rows share, and more partitions than ids."""
+    texts = [(None, "null one"), (None, "null two"), (None, None), *((high + 7, f"{k} hot text") for k in range(12)), *((high + k, f"text of {k} " * 5) for k in range(20)), (high + 30, "x" * 50_000), (high + 31, "")]
+    for parts in (1, 3):
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)
+        got = fingerprint.fingerprint_documents(spark, docs).collect()
+        assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_chars) for r in got) == sorted((d is not None, d or 0, len(t or "")) for d, t in texts)
+        hashed = docs.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()
+        ring = [(r.doc_id, r.text) for r in sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))]
+        want = []
+        for (doc, text), (_, after) in zip(ring, ring[1:] + ring[:1]):
+            half = len(text) // 2
+            edited = text[: len(text) - half] + after[:half]
+            want.append((doc or -1, hashlib.sha256(edited.encode()).hexdigest(), pytest.approx(_plain_likeness(text, edited)), pytest.approx(_plain_likeness(text, after))))
+        assert sorted(((r.doc_id or -1, r.edited_sha256, r.near_edited, r.near_next) for r in got), key=lambda x: x[:2]) == sorted(want, key=lambda x: x[:2])
+
+
 # --- licenses
 
 
