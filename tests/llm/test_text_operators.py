@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -240,6 +241,55 @@ def test_suffix_array_orders_and_bisects():
                 assert sorted(array.places(pattern).tolist()) == [i for i in range(len(text) - n + 1) if tuple(text[i : i + n].tolist()) == pattern]
 
 
+def _plain_matches(w, items, window):
+    """Longest verbatim matches (item number, its word, length, document word) of at least a window, word by word."""
+    out = set()
+    for k, x in enumerate(items):
+        least = min(window, len(x))
+        for i in range(len(x)):
+            for j in range(len(w)):
+                if i and j and x[i - 1] == w[j - 1]:
+                    continue
+                n = 0
+                while i + n < len(x) and j + n < len(w) and x[i + n] == w[j + n]:
+                    n += 1
+                if least and n >= least:
+                    out.add((k, i, n, j))
+    return out
+
+
+@pytest.mark.parametrize(("part_words", "shard_words", "window"), [(5, 40, 3), (30, 7, 4), (10**6, 10**6, 2), (12, 1, 5)])
+def test_parts_and_shards_as_plain_matches(spark, monkeypatch, part_words, shard_words, window):
+    """A benchmark of many parts, shards over many batches, documents longer than a shard, and passages that many documents share."""
+    import random
+
+    rng = random.Random(part_words + window)
+    monkeypatch.setattr(decontaminate, "PART_WORDS", part_words)
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard_words)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 25))) for _ in range(60)] + [None, "a " * 60, "x y z"]
+    bench = [(f"i{k % 9}", " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 9)))) for k in range(12)] + [("i0", None), ("i10", "a a a a a a a")]
+    items = [words(t) for _, t in bench]
+    # The same code as the executors', here on one iterator of small batches.
+    tests = decontaminate._test_set(spark, spark.createDataFrame(bench, "item_id string, text string"), window)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t or "" for t in texts])], names=["doc_id", "text"])
+    batches = [batch.slice(k, 4) for k in range(0, len(texts), 4)]
+    marks = [r for b in decontaminate._marks(tests)(iter(batches)) for r in b.to_pylist()]
+    places = [r for b in decontaminate._locations(tests)(iter(batches)) for r in b.to_pylist()]
+    clean = [r for b in decontaminate._clean(tests)(iter(batches)) for r in b.to_pylist()]
+    want_places, want_clean = [], []
+    for doc, text in enumerate(texts):
+        w = words(text)
+        found = _plain_matches(w, items, window)
+        want_places += [(bench[k][0], i, n, doc, j) for k, i, n, j in found]
+        hit = {x for _, _, n, j in found for x in range(j, j + n)}
+        names = sorted({bench[k][0] for k, *_ in found})
+        assert marks[doc] == {"doc_id": doc, "n_words": len(w), "n_hit": len(hit), "n_items": len(names), "items": names}
+        if not hit or 20 * len(hit) < len(w):
+            want_clean.append(doc)
+    assert sorted(tuple(r.values()) for r in places) == sorted(want_places)
+    assert [r["doc_id"] for r in clean] == want_clean
+
+
 # --- near duplicates
 
 
