@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Up to so many rows of a few numbers are broadcast, after they have been counted.
 BROADCAST_ROWS = 2_000_000
+#: Up to so many rows of a few numbers are ordered by one task, after they have been counted.
+ONE_TASK = 200_000
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -63,6 +65,25 @@ def bounded(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= rows else frame
 
 
+def running(spark: SparkSession, frame: DataFrame, order: list[Column], value: str, name: str, small: bool | None = None) -> DataFrame:
+    """The frame with the sum of a column over all rows before each, in an order that tells rows apart, as `name`, and over all rows as
+    `name`_total. One task does it if the rows were counted to be few (or `small` says so); beyond that the sum inside each range of
+    the order is added to that of the ranges before, of which there are as many as partitions."""
+    if small is None:
+        small = frame.limit(ONE_TASK + 1).count() <= ONE_TASK
+    if small:
+        whole = Window.orderBy(*order)
+        before = F.coalesce(F.sum(value).over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return frame.withColumns({name: before, f"{name}_total": F.sum(value).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    dealt = settle(spark, frame.repartitionByRange(partitions(spark), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum")).withColumnRenamed("_range", "_of")
+    over = Window.orderBy("_of")
+    starts = sums.select("_of", F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"{name}_total"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.join(F.broadcast(starts), dealt["_range"] == F.col("_of"))
+    return rows.withColumn(name, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_range", "_of", "_start")
+
+
 def text_of(name: str = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

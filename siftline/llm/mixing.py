@@ -5,10 +5,12 @@ for the rest, with blocks in a permuted order until the target; the block on the
 (pass, block) is a draw. The tree halves the set of all draws again and again, each half a uniformly random one, so that the numbers
 of each source's draws that a node gets are multivariate-hypergeometric; the leaves are the output shards' quotas. A shard then
 takes as many draws of a source as its quota says, the next ones in the source's permuted order, so draws are disjoint, and orders
-its rows by a hash.
+its rows by a hash. A source misses its target by less than its smallest sub-block that could still be added, that is by some
+1 / BLOCKS^2 of its words or by a document's, whichever is more.
 
 Plans are tables by source and block, of at most 3 * BLOCKS rows a source, whatever the number of documents; documents are joined
-to them and never sorted as a whole. All choices are hashes of ids and a seed, so reruns agree.
+to them and move only to be put in order. Sums over all sources or draws are made in one task if these are counted to be few, and else by
+ranges. All choices are hashes of ids and a seed, so reruns agree.
 
 Null or empty texts have size 0 and are taken 0 times when their source has none; a null source is a source of its own, last in
 order. Repeated rows are taken alike. A null doc_id hashes like the text "null". An empty table gives an empty result.
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm._shared import settle, text_of
+from siftline.llm._shared import ONE_TASK, bounded, partitions, running, settle, text_of
 
 BLOCKS = 256
 SHARDS_LOG2 = 4
@@ -44,24 +46,22 @@ def _two_digits(digest: Column, at: int) -> Column:
     return F.conv(F.substring(digest, at, 2), 16, 10).cast("int")
 
 
-def targets(sizes: DataFrame) -> DataFrame:
+def targets(spark: SparkSession, sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) for (source, source_size): weights repeat over the sources in order, null last, and share the sum of
-    all sizes; a target stops at MOST times its source's size, and the excess is shared again by weight."""
-    order = Window.orderBy(F.asc_nulls_last("source"))
-    turn = (F.row_number().over(order) - 1) % len(WEIGHTS)
-    weight = F.lit(WEIGHTS[-1])
-    for k, w in enumerate(WEIGHTS[:-1]):
-        weight = F.when(turn == k, w).otherwise(weight)
-    rows = sizes.withColumn("weight", weight.cast("double")).withColumn("limit", MOST * F.col("source_size"))
-    rows = rows.withColumn("level", F.col("limit") / F.col("weight"))
-    # Sources stop in order of limit / weight: the first k do, if the level that the others then share is below the next one's.
-    rising = Window.orderBy("level", F.asc_nulls_last("source"))
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("level", F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("shared", (F.sum("source_size").over(whole) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    # That level rises up to this k and falls after it.
-    rows = rows.withColumn("common", F.max("shared").over(whole))
-    return rows.select("source", "source_size", F.least(F.col("limit"), F.col("weight") * F.col("common")).alias("target"))
+    all sizes; a target stops at MOST times its source's size, and the excess is shared again by weight until none is above."""
+    ranked = running(spark, sizes.withColumn("one", F.lit(1)), [F.asc_nulls_last("source")], "one", "turn").drop("one", "turn_total")
+    weight = F.element_at(F.lit(list(WEIGHTS)), (F.col("turn") % len(WEIGHTS) + 1).cast("int"))
+    rows = settle(spark, ranked.select("source", "source_size", weight.alias("weight"), (MOST * F.col("source_size")).alias("limit")), "sources")
+    # Once a source's share is above its limit it stays so, as what the others leave only grows.
+    level, stopped = 0.0, -1
+    while True:
+        stops = F.col("weight") * F.lit(level) > F.col("limit")
+        free = F.when(~stops, F.col("weight"))
+        total, spent, whole, now = rows.agg(F.sum("source_size"), F.sum(F.when(stops, F.col("limit"))), F.sum(free), F.sum(stops.cast("int"))).first()
+        if not whole or now == stopped:
+            break
+        level, stopped = (total - (spent or 0.0)) / whole, now
+    return rows.select("source", "source_size", F.least(F.col("limit"), F.col("weight") * F.lit(level)).alias("target"))
 
 
 def _fill(rows: DataFrame, keys: list[str], need: str, size: str, tag: str) -> DataFrame:
@@ -77,7 +77,7 @@ def plan(spark: SparkSession, sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From (source, part, sub, size): the draws (source, pass, part, sub, shard), where sub is null if all of a block is drawn, and the
     sources' targets."""
     sums = settle(spark, sized.groupBy("source", "part", "sub").agg(F.sum("size").alias("size")), "block-sizes")
-    goals = settle(spark, targets(sums.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    goals = settle(spark, targets(spark, sums.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     parts = sums.groupBy("source", "part").agg(F.sum("size").alias("size"))
 
     def with_goal(rows: DataFrame) -> DataFrame:
@@ -104,15 +104,20 @@ def plan(spark: SparkSession, sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = free.groupBy("source").agg(F.min(F.struct("off", "part", "sub", "passes")).alias("x")).select("source", (F.col("x.passes") + 1).alias("pass"), "x.part", "x.sub")
     draws = settle(spark, whole.unionByName(rest).unionByName(pieces.drop("size")).unionByName(last), "draws")
     # A block's pieces stay together in the tree.
-    units = draws.select("source", "pass", "part").distinct().withColumn("node", F.lit(0))
-    units = settle(spark, units.coalesce(1), "units").coalesce(1)
+    units = settle(spark, draws.select("source", "pass", "part").distinct().withColumns({"node": F.lit(0), "one": F.lit(1)}), "units")
+    small = units.limit(ONE_TASK + 1).count() <= ONE_TASK
     for level in range(SHARDS_LOG2):
-        order = Window.partitionBy("node").orderBy(_hash(SEED, F.lit("tree"), level, "source", "pass", "part"), "source", "pass", "part")
-        count = F.count("*").over(Window.partitionBy("node"))
+        # A node's units in random order: their places among all, less those before the node's first.
+        order = [F.col("node"), _hash(SEED, F.lit("tree"), level, "source", "pass", "part"), F.asc_nulls_last("source"), F.col("pass"), F.col("part")]
+        placed = running(spark, units, order, "one", "place", small).drop("place_total")
+        count = placed.groupBy(F.col("node").alias("of")).agg(F.count("*").alias("count"), F.min("place").alias("first"))
         # Which of two odd halves is larger is a coin by node.
         coin = F.pmod(F.crc32(F.concat_ws("/", F.lit(f"{SEED}/{level}"), "node").cast("binary")), F.lit(2))
-        half = F.floor((count + coin) / 2)
-        units = units.withColumn("node", F.col("node") * 2 + F.when(F.row_number().over(order) <= half, 0).otherwise(1))
+        half = F.floor((F.col("count") + coin) / 2)
+        placed = placed.join(F.broadcast(count), F.col("node") == F.col("of"))
+        placed = placed.withColumn("node", F.col("node") * 2 + (F.col("place") - F.col("first") >= half).cast("int")).select("source", "pass", "part", "node", "one")
+        units = settle(spark, placed, "units")
+    units = units.drop("one")
     quotas = units.groupBy("source", "node").agg(F.count("*").alias("quota"))
     upto = Window.partitionBy("source").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     quotas = quotas.withColumn("last", F.sum("quota").over(upto)).withColumn("first", F.col("last") - F.col("quota") + 1).withColumnRenamed("source", "q_source")
@@ -137,9 +142,9 @@ def _by_block(draws: DataFrame) -> DataFrame:
 
 
 def _draws_of(rows: DataFrame, draws: DataFrame) -> DataFrame:
-    """The rows with their own draws, null if none."""
+    """The rows with their own draws, null if none. No row moves if the table of draws, of BLOCKS rows a source, is counted to be small."""
     keyed = rows.withColumns({"k_source": F.coalesce("source", F.lit("")), "k_null": F.col("source").isNull()})
-    joined = keyed.join(_by_block(draws), (F.col("k_source") == F.col("d_source")) & (F.col("k_null") == F.col("d_null")) & (F.col("part") == F.col("d_part")), "left")
+    joined = keyed.join(bounded(draws), (F.col("k_source") == F.col("d_source")) & (F.col("k_null") == F.col("d_null")) & (F.col("part") == F.col("d_part")), "left")
     own = F.filter("draws", lambda d: d["sub"].isNull() | (d["sub"] == F.col("sub")))
     return joined.withColumn("own", own).drop("k_source", "k_null", "d_source", "d_null", "d_part", "draws")
 
@@ -148,8 +153,8 @@ def taken_words(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """Per row: doc_id, size, source_size, target and taken (its size times its draws), and the shards it goes to."""
     sized = settle(spark, sized_documents(documents), "sized")
     draws, goals = plan(spark, sized)
-    drawn = _draws_of(sized, draws)
-    goal = goals.select(F.coalesce("source", F.lit("")).alias("g_source"), F.col("source").isNull().alias("g_null"), "source_size", "target")
+    drawn = _draws_of(sized, settle(spark, _by_block(draws), "dealt"))
+    goal = bounded(goals).select(F.coalesce("source", F.lit("")).alias("g_source"), F.col("source").isNull().alias("g_null"), "source_size", "target")
     out = drawn.join(goal, (F.coalesce("source", F.lit("")) == F.col("g_source")) & (F.col("source").isNull() == F.col("g_null")))
     times = F.coalesce(F.size("own"), F.lit(0))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.when(times > 0, times).otherwise(0)).cast("long").alias("taken"), F.array_sort(F.coalesce(F.col("own.shard"), F.expr("array()").cast("array<int>"))).alias("shards"))
@@ -158,7 +163,7 @@ def taken_words(spark: SparkSession, documents: DataFrame) -> DataFrame:
 def mix(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """The mix: each row of documents as often as it is drawn, all columns, with mix_shard and mix_key, by which a shard's rows are ordered."""
     sized = settle(spark, sized_documents(documents).drop("doc_id"), "sized")
-    draws, _ = plan(spark, sized)
+    draws = settle(spark, _by_block(plan(spark, sized)[0]), "dealt")
     digest = _hash(SEED, F.lit("block"), "doc_id")
     names = documents.columns
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").cast("string").alias("source"), _two_digits(digest, 1).alias("part"), _two_digits(digest, 3).alias("sub"), digest.alias("digest"))
@@ -167,5 +172,8 @@ def mix(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
 
 def ordered(mixed: DataFrame) -> DataFrame:
-    """A mix with each shard's rows together, in local order of mix_key; shards are as even as the tree makes them."""
-    return mixed.repartition(1 << SHARDS_LOG2, "mix_shard").sortWithinPartitions("mix_shard", "mix_key")
+    """A mix with each shard's rows together, in local order of mix_key. A shard is a run of partitions, so that none holds more than its
+    part of the shard, which is as even as the hash."""
+    each = max(1, -(-partitions(mixed.sparkSession) >> SHARDS_LOG2))
+    part = F.col("mix_shard") * each + F.floor(F.conv(F.substring("mix_key", 1, 6), 16, 10).cast("long") * each / (1 << 24))
+    return mixed.repartitionById(each << SHARDS_LOG2, part.cast("int")).sortWithinPartitions("mix_shard", "mix_key")

@@ -36,7 +36,7 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken_words(spark, _table(spark, sf_dir, "documents")).drop("shards")
+    return mixing.taken_words(spark, _table(spark, sf_dir, "documents"))
 
 
 def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

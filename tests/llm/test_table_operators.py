@@ -60,6 +60,42 @@ def test_mixed_rows_are_the_draws(spark, documents):
     assert mixed.agg(F.min("mix_shard"), F.max("mix_shard")).first()[1] < 16
 
 
+def test_leaves_decide_what_shards_take(spark, documents):
+    """The tree's leaves share all draws evenly, source by source they are what a shard's rows come from, and no text is shuffled."""
+    sized = mixing.sized_documents(documents).cache()
+    draws, _ = mixing.plan(spark, sized)
+    draws = [tuple(r) for r in draws.select("source", "pass", "part", "sub", "shard").collect()]
+    units = {(s, p, b, shard) for s, p, b, _, shard in draws}
+    assert len(units) == len({u[:3] for u in units})
+    size = [sum(u[3] == k for u in units) for k in range(16)]
+    assert max(size) - min(size) <= 4  # a coin at each of the four levels
+    want = {}
+    for r in sized.collect():
+        for s, _, b, sub, shard in draws:
+            if s == r.source and b == r.part and sub in (None, r["sub"]):
+                want[r.doc_id, shard] = want.get((r.doc_id, shard), 0) + 1
+    mixed = mixing.mix(spark, documents)
+    assert {(r.doc_id, r.mix_shard): r["count"] for r in mixed.groupBy("doc_id", "mix_shard").count().collect()} == want
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    stream = mixing.ordered(mixed).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()
+    assert [(r.mix_shard, r.mix_key) for r in stream] == sorted((r.mix_shard, r.mix_key) for r in stream)
+
+
+def test_many_sources_go_by_ranges(spark, documents, monkeypatch):
+    """Sums over sources and draws by ranges give what one task gives."""
+    from siftline.llm import _shared
+
+    docs = documents.withColumn("source", F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit("s"), F.col("doc_id") % 29)))
+    one = sorted(map(str, mixing.taken_words(spark, docs).collect()))
+    monkeypatch.setattr(_shared, "ONE_TASK", 3)
+    monkeypatch.setattr(mixing, "ONE_TASK", 3)
+    assert sorted(map(str, mixing.taken_words(spark, docs).collect())) == one
+    numbers = spark.range(500).selectExpr("id", "id % 3 AS v")
+    got = {r.id: r["before"] for r in _shared.running(spark, numbers, [F.col("id").desc()], "v", "before").collect()}
+    assert got == {k: sum(x % 3 for x in range(k + 1, 500)) for k in range(500)}
+
+
 # --- sharding
 
 
