@@ -31,8 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix draws it."""
-    return mixing.mix(spark, docs).select(*_columns(docs))
+    """Each document stands as often as the mix draws it, shard by shard and in the shards' local order."""
+    return mixing.ordered(mixing.mix(spark, docs)).select(*_columns(docs))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
