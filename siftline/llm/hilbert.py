@@ -2,11 +2,12 @@
 
 Language, source and length are quantised to BITS bits each: strings by their share of rows in code-point order, so that codes keep
 order and a frequent value gets a code of its own, lengths by powers of two. Rows are ordered by the curve's index of their cell,
-inside a cell by a hash of doc_id and then doc_id, and the order is cut into runs: shards of row counts at most one apart. A shard
+inside a cell by a hash of doc_id and text and then doc_id, and the order is cut into runs: shards of row counts at most one apart. A shard
 so covers few languages, sources and lengths, and file statistics prune on all three.
 
-Ranks come from counts of cells, and in cells of over SLICE rows of slices by hash, so no task orders more than a slice or so,
-whatever share of the rows one cell holds. Only counts of slices, some rows for SLICE rows each, are summed in one place.
+Ranks come from counts of cells, and in large cells of slices, runs of the hash, so no task orders more than a few slices, whatever
+share of the rows one cell holds. A slice has SLICE rows or fewer, so that each of the session's partitions gets some; the order doesn't
+depend on it. Counts of values and slices are summed in one task if they are counted to be few, and else by ranges.
 
 A null text has size 1 (no bytes, plus 1); null languages and sources are a value of their own, before all others. Repeated rows
 each get a slot. Rows with the same text keep their own metadata and so may stand apart. An empty table gives an empty result.
@@ -19,7 +20,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm._shared import bounded, settle
+from siftline.llm._shared import bounded, partitions, running, settle
 
 SHARDS = 16
 BITS = 4
@@ -64,13 +65,12 @@ def curve() -> tuple[int, ...]:
     return tuple(hilbert_index(tuple((cell >> (BITS * (DIMENSIONS - 1 - k))) & side for k in range(DIMENSIONS)), BITS) for cell in range(1 << (BITS * DIMENSIONS)))
 
 
-def _codes(rows: DataFrame, name: str) -> DataFrame:
+def _codes(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     """(value, code) of a string column's values: the share of rows before the value's middle, in BITS bits."""
-    counts = rows.groupBy(name).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.asc_nulls_first(name)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.orderBy(F.asc_nulls_first(name)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    code = F.floor((F.sum("n").over(order) - F.col("n") / 2) * (1 << BITS) / F.sum("n").over(whole))
-    return counts.select(F.coalesce(name, F.lit("")).alias(f"{name}_value"), F.col(name).isNull().alias(f"{name}_null"), F.least(code, F.lit((1 << BITS) - 1)).cast("int").alias(f"{name}_code"))
+    counts = settle(spark, rows.groupBy(name).agg(F.count("*").alias("n")), "values")
+    summed = running(spark, counts, [F.asc_nulls_first(name)], "n", "before")
+    code = F.floor((F.col("before") + F.col("n") / 2) * (1 << BITS) / F.col("before_total"))
+    return settle(spark, summed.select(F.coalesce(name, F.lit("")).alias(f"{name}_value"), F.col(name).isNull().alias(f"{name}_null"), F.least(code, F.lit((1 << BITS) - 1)).cast("int").alias(f"{name}_code")), "codes")
 
 
 def _index(cell: Column) -> Column:
@@ -98,19 +98,22 @@ def shard_documents(spark: SparkSession, documents: DataFrame, shards: int = SHA
     move once, by cell and slice; a text of any length is moved only if asked for."""
     rows = _described(documents)
     narrow = settle(spark, rows.drop("row"), "metadata")
-    codes = {name: bounded(_codes(narrow, name)) for name in ("lang", "source")}
+    codes = {name: bounded(_codes(spark, narrow, name)) for name in ("lang", "source")}
     cells = settle(spark, _placed(narrow, codes).select("doc_id", "size", "text_crc32", "curve_index"), "cells")
-    # A cell has as many slices as its rows need; there are at most 2^(BITS * DIMENSIONS) = 4096 cells.
-    slices = F.broadcast(settle(spark, cells.groupBy("curve_index").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")), "slices"))
+    # There are at most 2^(BITS * DIMENSIONS) = 4096 cells.
+    sums = settle(spark, cells.groupBy("curve_index").agg(F.count("*").alias("n")), "cell-sizes")
+    wanted = (sums.agg(F.sum("n")).first()[0] or 0) // (4 * partitions(spark))
+    each = min(SLICE, max(wanted, 100))
+    slices = F.broadcast(sums.select("curve_index", F.ceil(F.col("n") / each).cast("long").alias("slices")))
 
     def sliced(x: DataFrame) -> DataFrame:
-        return x.join(slices, "curve_index").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int")).drop("slices")
+        hashed = x.withColumn("turn", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size"), 33))
+        return hashed.join(slices, "curve_index").withColumn("slice", F.shiftright(F.col("turn") * F.col("slices"), 31)).drop("slices")
 
-    counts = sliced(cells).groupBy("curve_index", "slice").agg(F.count("*").alias("n"))
-    order = Window.orderBy("curve_index", "slice")
-    upto, whole = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    starts = bounded(settle(spark, counts.select("curve_index", "slice", (F.sum("n").over(upto) - F.col("n")).alias("start"), F.sum("n").over(whole).alias("total")), "starts"))
-    inside = Window.partitionBy("curve_index", "slice").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size")
+    counts = settle(spark, sliced(cells).groupBy("curve_index", "slice").agg(F.count("*").alias("n")), "slice-sizes")
+    starts = running(spark, counts, [F.col("curve_index"), F.col("slice")], "n", "start").withColumnRenamed("start_total", "total").drop("n")
+    starts = bounded(settle(spark, starts, "starts"))
+    inside = Window.partitionBy("curve_index", "slice").orderBy("turn", F.asc_nulls_first("doc_id"), "text_crc32", "size")
     ranked = sliced(_placed(rows, codes) if whole_rows else cells).join(starts, ["curve_index", "slice"]).withColumn("rank", F.col("start") + F.row_number().over(inside) - 1)
     # Shard s begins at the smallest rank r with r * shards div total = s.
     ranked = ranked.withColumn("shard", F.expr(f"cast((rank * {shards}) div total as int)"))

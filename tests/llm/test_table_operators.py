@@ -122,6 +122,37 @@ def test_hot_cells_are_sliced(spark, monkeypatch):
     assert sorted(n) == [62] * 8 + [63] * 8 and whole.select("shard", "slot").distinct().count() == 1000
 
 
+def test_order_does_not_depend_on_slices_or_ranges(spark, documents, monkeypatch):
+    """Slices of any size and sums by ranges give the same slots; rows with one doc_id, or none, and different texts are dealt too."""
+    from siftline.llm import _shared
+
+    extra = spark.createDataFrame([(None if k % 2 else 3, f"text {k}", None, "hot", 0) for k in range(60)], documents.schema)
+    docs = documents.unionByName(extra)
+    one = sorted(map(str, hilbert.shard_documents(spark, docs, whole_rows=False).collect()))
+    assert len(one) == documents.count() + 60
+    monkeypatch.setattr(hilbert, "SLICE", 3)
+    monkeypatch.setattr(_shared, "ONE_TASK", 5)
+    assert sorted(map(str, hilbert.shard_documents(spark, docs, whole_rows=False).collect())) == one
+
+
+def test_files_of_shards_prune(spark, tmp_path):
+    """A shard's file covers few languages, sources and lengths, so that most files are excluded by a filter on two of them."""
+    import pyarrow.parquet as pq
+
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', cast(pow(2, id % 12) as int)) AS text", "concat('l', id % 4) AS lang", "concat('s', (id div 4) % 8) AS source", "id AS n_chars")
+    path = str(tmp_path / "shards")
+    hilbert.write_shards(hilbert.shard_documents(spark, docs), path)
+    files = [f for f in sorted((tmp_path / "shards").glob("*.parquet")) if pq.ParquetFile(f).metadata.num_rows]
+    assert len(files) == 16
+    kept = 0
+    for file in files:
+        table = pq.read_table(file)
+        assert table.column("shard").unique().to_pylist().__len__() == 1 and table.column("slot").to_pylist() == list(range(table.num_rows))
+        lang, source = table.column("lang").to_pylist(), table.column("source").to_pylist()
+        kept += min(lang) <= "l1" <= max(lang) and min(source) <= "s2" <= max(source)
+    assert kept <= 5
+
+
 def test_curve_is_continuous():
     at = {i: cell for cell, i in enumerate(hilbert.curve())}
     point = lambda c: (c >> 8, (c >> 4) & 15, c & 15)
