@@ -4,7 +4,7 @@ Every template is a run of words. Words of templates are weighed by inverse docu
 scan. Of each file only the positions of template words are looked at: a template's rarest word in it is the anchor, whose
 positions give, by relative position, all places where the template can start. For a base phrase the words around each such
 place are compared, which finds every place where it stands. For a longer template its rarest words vote for a start; where enough of
-their weight agrees and a mandatory key phrase stands inside, its label is given.
+their weight agrees and the mandatory key phrase stands at its place in the template, its label is given.
 
 All of it is column expressions within a row, so no row moves but the sums of word frequencies. Null and empty texts have no
 words. Repeated rows each get a row; an empty table gives an empty result. Only doc_id and text are read.
@@ -103,17 +103,19 @@ def _share(words: Column, phrase: list[str], voters: list[int], weight: dict[str
 
 
 def _template(words: Column, places: Column, template: tuple[str, str, str], weight: dict[str, float]) -> Column:
-    """A template's label, best start and share, or null."""
+    """A template's label, best start and share, or null. A start counts only if the key phrase stands where the template has it."""
     label, text, key = template
-    phrase = text.split()
+    phrase, inner = text.split(), key.split()
+    offset = next(k for k in range(len(phrase)) if phrase[k : k + len(inner)] == inner)
     voters = sorted(range(len(phrase)), key=lambda k: (-weight[phrase[k]], k))[:VOTERS]
     whole = sum(weight[phrase[k]] for k in voters) or 1.0
     # Where AGREE of the weight agrees, at least one of the rarest voters stands; these give the starts.
     firsts = [k for n, k in enumerate(voters) if sum(weight[phrase[j]] for j in voters[:n]) / whole <= 1 - AGREE]
     starts = F.flatten(F.array(*[_at(places, words, phrase[k], k) for k in firsts]))
-    best = F.array_max(F.transform(starts, _share(words, phrase, voters, weight)))
+    keyed = F.filter(starts, lambda s: _stands(words, s + offset, inner))
+    best = F.array_max(F.transform(keyed, _share(words, phrase, voters, weight)))
     found = F.struct(F.lit(label).alias("label"), (-best["back"]).cast("long").alias("start"), best["share"].alias("share"))
-    return F.when((F.size(_starts(words, places, key.split(), weight)) > 0) & (best["share"] >= AGREE), found)
+    return F.when(best["share"] >= AGREE, found)
 
 
 def scan_licenses(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -129,10 +131,9 @@ def scan_licenses(spark: SparkSession, documents: DataFrame) -> DataFrame:
     def look(words: Column) -> Column:
         def at(places: Column) -> Column:
             hits = F.concat(*[base(words, places, k) for k in range(len(BASE))])
-            # Most texts have no template word, and nothing more is looked at.
-            none = F.size(places) == 0
             found = F.array_compact(F.array(*[_template(words, places, t, weight) for t in TEMPLATES]))
-            return F.struct(F.size(words).cast("long").alias("n_words"), F.when(none, F.array().cast("array<struct<start:int,label:string>>")).otherwise(hits).alias("hits"), F.when(none, F.array().cast("array<struct<label:string,start:bigint,share:double>>")).otherwise(found).alias("found"))
+            # Most texts have no template word, and nothing more is looked at.
+            return F.when(F.size(places) == 0, _found(F.size(words), F.array(), F.array())).otherwise(_found(F.size(words), hits, found))
 
         return _let(_positions(words), at)
 
@@ -140,6 +141,10 @@ def scan_licenses(spark: SparkSession, documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "x.n_words", "x.hits", "x.found")
 
 
+def _found(n_words: Column, hits: Column, found: Column) -> Column:
+    return F.struct(n_words.cast("long").alias("n_words"), hits.cast("array<struct<start:int,label:string>>").alias("hits"), found.cast("array<struct<label:string,start:bigint,share:double>>").alias("found"))
+
+
 def summarise(scanned: DataFrame) -> DataFrame:
     """The contract's columns of a scan."""
     base = F.array_sort(F.array_distinct(F.col("hits.label")))

@@ -154,6 +154,48 @@ def test_longer_templates_need_their_key_phrase(spark):
     assert got == {1: "bsd", 2: ""}
 
 
+def _plain_labels(w, weight):
+    """The added labels by trying every start: the share of the rarest words' weight, and the key phrase at its place."""
+    out = set()
+    for label, text, key in licenses.TEMPLATES:
+        p, inner = text.split(), key.split()
+        offset = " ".join(p).split(key)[0].count(" ")
+        voters = sorted(range(len(p)), key=lambda k: (-weight[p[k]], k))[: licenses.VOTERS]
+        whole = sum(weight[p[k]] for k in voters)
+        for start in range(-len(p), len(w)):
+            at = start + offset
+            if at >= 0 and w[at : at + len(inner)] == inner:
+                share = sum(weight[p[k]] for k in voters if 0 <= start + k < len(w) and w[start + k] == p[k]) / whole
+                if share >= licenses.AGREE - 1e-9:
+                    out.add(label)
+    return out
+
+
+def test_added_labels_as_every_start(spark):
+    """Whole and damaged templates, key phrases far from them, capitals, words in other scripts, long and null texts."""
+    import math
+    import random
+
+    rng = random.Random(8)
+    texts = [None, "", "MIT", "Ünder the mit license", "redistribution and use with or without modification are permitted " + "word " * 200 + "source and binary forms", "x " * 30_000 + "GNU Affero General Public License as published by the Free Software Foundation"]
+    for _, text, _ in licenses.TEMPLATES:
+        for _ in range(6):
+            w = text.split()
+            for at in rng.sample(range(len(w)), rng.randint(0, 4)):
+                w[at] = rng.choice(["other", "the", "license"])
+            texts.append(" ".join(rng.choice(["", "é,", "some words. "]) + x for x in w).upper() if rng.random() < 0.3 else "before " * rng.randint(0, 3) + " ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = [words(t) for t in texts]
+    seen = {w: sum(w in x for x in every) for w in licenses._vocabulary()}
+    weight = {w: math.log((len(texts) + 1) / (n + 0.5)) for w, n in seen.items()}
+    got = licenses.summarise(licenses.scan_licenses(spark, docs)).collect()
+    for r in got:
+        w = every[r.doc_id]
+        base = {label for phrase, label in licenses.BASE if f" {phrase} " in f" {' '.join(w)} "}
+        assert (r.n_words, set(filter(None, r.labels.split(",")))) == (len(w), base | _plain_labels(w, weight)), texts[r.doc_id]
+    assert "bsd" not in got[4].labels and sum(r.labels != r.base_labels for r in got) > 20
+
+
 # --- tokens
 
 
