@@ -32,6 +32,9 @@ from siftline.llm._shared import fresh_path, partitions, settle, small_batches
 MIN_REVISIT = 100
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20
+#: So many payloads with copies are broadcast; beyond that a payload's rows are dealt to SALTS tasks.
+BROADCAST_DIGESTS = 500_000
+SALTS = 32
 LEVEL = 3
 #: Fixed values of the formats: the first of the sixteen magic numbers of skippable frames that archives use, and a zero date.
 SKIPPABLE = 0x184D2A5D
@@ -39,14 +42,23 @@ DATE = "1970-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def with_targets(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def with_targets(spark: SparkSession, pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, html and refers_to: the smallest page_id with an equal payload, null for responses. Digests are grouped first, so a
-    payload that a third of all rows share is reduced where it is read."""
+    payload that a third of all rows share is reduced where it is read. Payloads with copies are broadcast if they are counted to be few,
+    and no page moves; else rows move by digest and salt. Payloads too small for revisits have no digest to meet in."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    keys = rows.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")).filter(F.col("size") >= min_revisit)
+    digest = F.when(F.octet_length("html") >= min_revisit, F.unhex(F.sha2("html", 256)))
+    keys = rows.select("page_id", digest.alias("digest")).filter("digest is not null")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
-    copies = rows.withColumn("digest", F.sha2("html", 256)).join(first, "digest", "left")
+    first = settle(spark, first, "first-pages")
+    # A row without a digest gets one of its own that no payload has.
+    own = F.coalesce(digest, F.concat(F.lit("small "), F.coalesce(F.col("page_id"), F.lit(0)).cast("string")).cast("binary"))
+    keyed = rows.withColumns({"digest": own, "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
+    if first.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        copies = keyed.join(F.broadcast(first), "digest", "left")
+    else:
+        copies = keyed.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"], "left")
     return copies.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -136,7 +148,7 @@ def _writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
     """Write the archives; the manifest (page_id, path, place, length) has a row for each record."""
     small_batches(spark)
-    return settle(spark, with_targets(pages).mapInArrow(_writer(folder), "page_id long, path string, place long, length long"), "warc-manifest")
+    return settle(spark, with_targets(spark, pages).mapInArrow(_writer(folder), "page_id long, path string, place long, length long"), "warc-manifest")
 
 
 def read_frames(stream) -> Iterator[bytes]:

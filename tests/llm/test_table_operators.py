@@ -220,6 +220,21 @@ def test_archives_round_trip(spark, pages):
     assert warc.archive_pages(spark, pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 10])
+def test_hot_and_small_payloads_are_dealt(spark, monkeypatch, few):
+    """A third of all pages are one payload, a third are empty, and one is far longer than a batch; by broadcast and by salted keys."""
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", few)
+    rows = [(k, f"u{k}", "hot payload " * 20 if k % 3 == 0 else "" if k % 3 == 1 else f"page {k} " * 30) for k in range(1, 300)]
+    rows += [(400, None, "long " * 400_000), (401, None, "long " * 400_000), (402, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    if not few:
+        parts = warc.with_targets(spark, pages.drop("url").withColumn("url", F.lit("u"))).groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in parts) < 0.6 * len(rows)
+    for r in warc.archive_pages(spark, pages).collect():
+        want = 3 if 3 < r.page_id < 300 and r.page_id % 3 == 0 else 400 if r.page_id == 401 else None
+        assert (r.refers_to, r.record_type) == (want, "revisit" if want else "response")
+
+
 def test_archives_hold_a_dictionary(spark):
     rng = random.Random(1)
     rows = [(k, f"http://h/{k}", f"<html><body><nav>menu of the site</nav><p>{' '.join(rng.choice(['alpha', 'beta', 'gamma']) for _ in range(80))}</p></body></html>") for k in range(300)]
