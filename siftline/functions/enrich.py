@@ -13,7 +13,7 @@ from siftline.functions.text import LETTERS, let, ngrams, strip_accents
 _FOLD = str.maketrans(*LETTERS)
 
 
-def _folded(word: str) -> str:
+def folded_keyword(word: str) -> str:
     return word.lower().translate(_FOLD)
 
 
@@ -51,29 +51,29 @@ def spam_score(words: Column, phrases: list[str]) -> Column:
 
 def topics(words: Column, least: int = 2, most: int = 3) -> Column:
     """Labels with at least `least` keyword hits, most hits first, then by name."""
-    every = [_folded(k) for keys in TOPICS.values() for k in keys]
+    every = [folded_keyword(k) for keys in TOPICS.values() for k in keys]
 
     def score(hits: Column) -> Column:
-        scored = F.array(*[F.struct((-_hits(hits, [_folded(k) for k in keys])).alias("n"), F.lit(label).alias("label")) for label, keys in TOPICS.items()])
+        scored = F.array(*[F.struct((-_hits(hits, [folded_keyword(k) for k in keys])).alias("n"), F.lit(label).alias("label")) for label, keys in TOPICS.items()])
         return F.transform(F.slice(F.array_sort(F.filter(scored, lambda t: t["n"] <= -least)), 1, most), lambda t: t["label"])
 
     # Most words are no keyword of any topic; the rest is short.
     return let(F.filter(words, lambda w: w.isin(every)), score)
 
 
-def _region_names() -> dict[str, int]:
+def region_names() -> dict[str, int]:
     out = {}
     for code, *names in REGIONS:
         for name in names:
             plain = unicodedata.normalize("NFKD", name.lower())
             plain = "".join(c for c in plain if not unicodedata.combining(c)) if any("a" <= c <= "z" for c in plain) else name
-            out[" ".join(_folded(plain).replace("'", " ").replace("-", " ").split())] = code
+            out[" ".join(folded_keyword(plain).replace("'", " ").replace("-", " ").split())] = code
     return out
 
 
 def region(words: Column) -> Column:
     """(code, mentions) of the region named most often; null if none is, or if the first two are named once each."""
-    names = _region_names()
+    names = region_names()
     codes = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
 
     def count(found: Column) -> Column:

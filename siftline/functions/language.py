@@ -195,17 +195,19 @@ def _step(so_far: str, piece: str) -> float:
     return score
 
 
-def to_arabic(token: str, beam: int = 12, top: int = 4) -> list[tuple[str, float]]:
-    """The likeliest Arabic spellings of a Latin token, best first, by a beam over greedy pieces of one or two characters."""
-    token = token.lower()
+def to_arabic(token: str, beam: int = 12, top: int = 4, least: int = 3) -> list[tuple[str, float]]:
+    """The likeliest Arabic spellings of a Latin token, best first, by a beam over greedy pieces of one or two characters. Doubled
+    consonants are one letter before any piece is read; tokens of fewer than `least` characters, or without a letter, have none."""
+    token = token.strip().lower()
+    if len(token) < least or not re.search("[a-z]", token):
+        return []
+    token = re.sub(r"([^aeiou])\1+", r"\1", token)
     states: list[tuple[str, float]] = [("", 0.0)]
     at = 0
     while at < len(token):
         size = 2 if token[at : at + 2] in TO_ARABIC else 1
         piece = token[at : at + size]
         at += size
-        if size == 1 and token[at : at + 1] == piece and piece in "bcdfghjklmnpqrstvwxyz":
-            at += 1  # a doubled consonant is one letter
         if piece not in TO_ARABIC:
             continue
         grown = [(s + c, v + _step(s, c)) for s, v in states for c in TO_ARABIC[piece] if len(s + c) <= 2 * max(1, len(token))]
@@ -218,7 +220,8 @@ def to_arabic(token: str, beam: int = 12, top: int = 4) -> list[tuple[str, float
 
 
 def to_arabizi(token: str) -> str:
-    return "".join(TO_LATIN.get(c, c) for c in token)
+    """The usual Latin spelling; letters and digits without one stay, marks go."""
+    return "".join(TO_LATIN.get(c, c if c.isalnum() else "") for c in token)
 
 
 @arrow("array<struct<text:string,score:double>>")
@@ -276,42 +279,51 @@ def is_question(c: Column) -> Column:
     return F.coalesce(F.trim(c).rlike("[?؟]$") | phrase | ((F.size(words) >= 2) & word), F.lit(False))
 
 
-#: Constants of the valence model, emoji aside.
+#: Constants of the valence model.
 WINDOW, ALPHA, SATURATION, NEGATION, STRONGER, WEAKER, ELONGATED, SHOUTED, BANG = 3, 15.0, 4.0, -0.74, 1.3, 0.7, 1.2, 1.15, 0.05
-CLITICS = ("وال", "فال", "بال", "كال", "لل", "ال", "و", "ف", "ب", "ل")
+CLITICS = ("وبال", "فبال", "وال", "فال", "بال", "كال", "لل", "ال", "و", "ف", "ب", "ك", "ل")
+EMOJI = {"😍🥰😻": 3.2, "😀😃😄😁🙂😊": 2.2, "👍👏🙏💪": 2.0, "❤♥💖💕": 2.6, "🎉🎊✅": 1.8, "😢😭😔☹🙁": -2.4, "😡🤬😠": -3.0, "👎💔": -2.4, "⚠❌": -1.4, "🤮🤢": -2.8}
+
+
+def _valence(word: str, valence: Mapping[str, float]) -> float | None:
+    """A word's valence, else that of what is left without an Arabic prefix, if that has three letters."""
+    if word in valence:
+        return valence[word]
+    stems = (word[len(p) :] for p in CLITICS if word.startswith(p) and len(word) - len(p) >= 3)
+    return next((valence[s] for s in stems if s in valence), None)
 
 
 def sentiment_one(text: str | None, valence: Mapping[str, float]) -> dict:
-    """label, score and confidence from signed words, with negation, strengthening and weakening in the three words before."""
+    """label, score and confidence from the valences of normalised words and of emoji, with negation, strengthening and weakening in the
+    three words before. A word of valence 0 is evidence without a direction."""
     raw = (text or "")[:1000]
-    words = re.findall(r"[^\W_]+|[^\w\s]", folded(raw))
-    words = [w for w in words if w.isalnum() or w in valence]
+    words = normal(raw).split()
     total, found = 0.0, 0
     for k, word in enumerate(words):
-        value, key = valence.get(word), word
-        factor = 1.0
-        if value is None and re.search(r"(.)\1\1", word):
-            key = re.sub(r"(.)\1{2,}", r"\1", word)
-            value, factor = valence.get(key), ELONGATED
-        if value is None:
-            stem = next((word[len(p) :] for p in CLITICS if word.startswith(p) and len(word) - len(p) >= 3), None)
-            value = valence.get(stem) if stem else None
+        value = _valence(word, valence)
         if value is None:
             continue
         found += 1
         before = words[max(0, k - WINDOW) : k]
-        value *= factor
         for w in before:
             value *= STRONGER if w in fixed.INTENSIFIERS else WEAKER if w in fixed.DIMINISHERS else 1.0
         if any(w in fixed.NEGATORS for w in before):
             value *= NEGATION
+        if re.search(r"(.)\1\1", word):
+            value *= ELONGATED
+        if len(word) > 2 and word.isascii() and not any(map(str.islower, word)):
+            value *= SHOUTED
         total += value
-    bangs = min(raw.count("!"), 3) + min(raw.count("؟"), 2) + min(raw.count("?"), 2)
-    total *= 1 + BANG * bangs
+    for c in raw:
+        shown = next((v for faces, v in EMOJI.items() if c in faces), None)
+        if shown is not None:
+            total, found = total + shown, found + 1
+    if not words:
+        return {"label": "neutral", "score": 0.0, "confidence": 0.0}
+    total *= 1 + BANG * (min(raw.count("!"), 3) + min(raw.count("؟"), 2) + min(raw.count("?"), 2))
     score = total / math.sqrt(total * total + ALPHA)
-    strength = abs(score)
-    share = max(min(1.0, found / SATURATION), found / len(words)) if words else 0.0
-    confidence = share * (0.3 + 0.7 * strength)
+    evidence = min(1.0, max(found / SATURATION, found / len(words)))
+    confidence = evidence * (0.3 + 0.7 * min(1.0, 3 * abs(score)))
     if confidence < 0.35:
         return {"label": "neutral", "score": 0.0, "confidence": round(confidence, 6)}
     return {"label": "positive" if score > 0.15 else "negative" if score < -0.15 else "neutral", "score": round(score, 6), "confidence": round(confidence, 6)}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
+from dataclasses import dataclass, replace
+from hashlib import md5
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ DIGITS = ("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 LETTERS = ("أإآٱىیےةؤئک", "اااايييهويك")
 MOST_CHARS = 200_000
 
-_REMOVED = f"[{INVISIBLE}{DIACRITICS}{TATWEEL}]|(?![\\t\\n\\x0b\\f\\r\\x85])\\p{{Cc}}"
+_CONTROLS = r"(?![\t\n\x0b\f\r\x85])\p{Cc}"
 _SPACE = r"(?U)\s+"
 
 
@@ -29,11 +31,27 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _native(c: Column, most: int | None = None) -> Column:
+@dataclass(frozen=True)
+class Switches:
+    """What normalising does beside composition, spaces and invisible marks; `most` cuts the result to so many characters."""
+
+    diacritics: bool = True
+    tatweel: bool = True
+    digits: bool = True
+    lowercase: bool = True
+    letters: bool = False
+    most: int | None = None
+
+
+def _native(c: Column, on: Switches = Switches()) -> Column:
     """Normalising of text that compatibility composition leaves as it is."""
-    c = F.lower(F.translate(F.regexp_replace(c, _REMOVED, ""), *DIGITS))
+    removed = INVISIBLE + (DIACRITICS if on.diacritics else "") + (TATWEEL if on.tatweel else "")
+    c = F.regexp_replace(c, f"[{removed}]|{_CONTROLS}", "")
+    c = F.translate(c, *DIGITS) if on.digits else c
+    c = F.lower(c) if on.lowercase else c
+    c = F.translate(c, *LETTERS) if on.letters else c
     c = F.trim(F.regexp_replace(c, _SPACE, " "))
-    return c if most is None else F.rtrim(F.left(c, F.lit(most)))
+    return c if on.most is None else F.rtrim(F.left(c, F.lit(on.most)))
 
 
 @arrow("string")
@@ -44,8 +62,13 @@ def _composed(x: pd.Series) -> pd.Series:
 def normalize(c: Column, most: int | None = None) -> Column:
     """Compatibility-composed, without invisible marks, tatweel and diacritics, with plain digits, lower case and single spaces. Only
     text beyond ASCII goes through Python. `most` cuts the result to so many characters, as a guard for requests (MOST_CHARS)."""
+    return normalize_with(c, Switches(most=most))
+
+
+def normalize_with(c: Column, on: Switches) -> Column:
+    """Normalising by switches; a step that is off leaves its characters as composition gives them."""
     other = F.when(~c.rlike(r"^[\x00-\x7F]*$"), c)
-    return F.coalesce(_native(_composed(_native(_composed(other))), most), _native(c, most))
+    return F.coalesce(_native(_composed(_native(_composed(other), replace(on, most=None))), on), _native(c, on))
 
 
 def fold(c: Column) -> Column:
@@ -108,21 +131,19 @@ def content_hash(c: Column) -> Column:
     return F.concat(F.lit("s2:"), F.sha2(normalize(c), 256))
 
 
-def _feature(word: str) -> int:
-    return int(hashlib.md5(word.encode()).hexdigest()[:16], 16)
-
-
 def simhash_of(text: str | None, least: int = 20) -> int | None:
     """64 signed votes of words (weight 1) and three-word runs (weight 2), as a signed number; none below `least` words."""
     words = (text or "").split()
     if len(words) < least:
         return None
-    runs = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)]
-    values = np.array([_feature(w) for w in words] + [_feature(r) for r in runs], np.uint64)
-    weights = np.array([1] * len(words) + [2] * len(runs))
-    bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
-    votes = weights @ (2 * bits - 1)
-    return int(np.packbits(votes > 0).view(">u8")[0].astype(np.uint64).astype(np.int64))
+    plain = [w.encode() for w in words]
+    features = [*plain, *map(b" ".join, zip(plain, plain[1:], plain[2:]))]
+    data = b"".join([md5(f).digest()[:8] for f in features])
+    bits = np.unpackbits(np.frombuffer(data, np.uint8).reshape(-1, 8), axis=1)
+    n = len(words)
+    for_it = bits[:n].sum(0, np.int64) + 2 * bits[n:].sum(0, np.int64)
+    # A bit is set if more than half of the weight, n for the words and 2 for each run, votes for it.
+    return int(np.packbits(2 * for_it > n + 2 * (len(features) - n)).view(">i8")[0])
 
 
 @arrow("long")
@@ -135,6 +156,15 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def block_keys(c: Column) -> Column:
+    """(which, value) for each way to choose three of six blocks of a SimHash's bits: two hashes that differ in at most three bits agree in
+    three blocks, so they share a key, and a key of some 32 bits is shared by few others."""
+    cuts = [0, 11, 22, 33, 44, 54, 64]
+    blocks = [F.shiftrightunsigned(c, 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
+    chosen = combinations(range(6), 3)
+    return F.array(*[F.struct(F.lit(k).alias("band"), F.shiftleft(F.shiftleft(blocks[x], 11).bitwiseOR(blocks[y]), 11).bitwiseOR(blocks[z]).alias("value")) for k, (x, y, z) in enumerate(chosen)])
+
+
 def hash_hex(c: Column) -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 

@@ -151,7 +151,9 @@ def fresh_pages(pages: DataFrame, now: Column, ttl_s: int, most_bytes: int = 5 <
 def weather_forecast(c: Column) -> Column:
     """Daily rows of a forecast reply."""
     reply = F.from_json(c, "daily struct<time:array<string>,temperature_2m_max:array<double>,temperature_2m_min:array<double>,weather_code:array<int>>")
-    return F.arrays_zip(reply["daily.time"].alias("day"), reply["daily.temperature_2m_max"].alias("high"), reply["daily.temperature_2m_min"].alias("low"), reply["daily.weather_code"].alias("code"))
+    daily = reply["daily"]
+    rows = F.arrays_zip(daily["time"], daily["temperature_2m_max"], daily["temperature_2m_min"], daily["weather_code"])
+    return rows.cast("array<struct<day:string,high:double,low:double,code:int>>")
 
 
 def parse_jobs(payload: Column) -> Column:
