@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text
 from siftline.operators import dedup, evaluate, rank, search, suggest
+from siftline.operators.sizes import small
 from siftline.sources.html import outlinks, parse_pages
 
 
@@ -41,7 +42,7 @@ class Engine:
             docs = docs.withColumn("published_at_precision", F.col("precision")).filter(filters.predicate()).drop("published_at_precision")
         index = search.postings(docs)
         hits = search.retrieve(search.with_typos(search.query_terms(queries), search.vocabulary(index)), index, docs)
-        hits = hits.select("query_id", "doc_id", "pos").join(docs.drop("body"), "doc_id").join(F.broadcast(queries), "query_id")
+        hits = hits.select("query_id", "doc_id", "pos").join(docs.drop("body"), "doc_id").join(small(queries), "query_id")
         return search.page_of(rank.rerank(hits, self.trust, self.now, self.weights), page, per_page)
 
     def facets(self, columns: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.functions.urls import host_of, suffixes
+
 HOUR, DAY = 3600, 86400
 
 
@@ -118,6 +120,58 @@ def rate_limited(requests: DataFrame, limit: int, window_s: int = 60) -> DataFra
     return judged.select("client", F.explode(F.arrays_zip("h.ts", "h.request_id", "ok")).alias("x")).select("client", F.col("x.ts").alias("ts"), F.col("x.request_id").alias("request_id"), F.col("x.ok").alias("allowed"))
 
 
+#: Lists of hosts that are never fetched, those that are hardest to lift first.
+TIERS = ("global", "takedown", "host_opt_out")
+
+
+def plain_host(c: Column) -> Column:
+    """A host as lists name it: lower case, no www. and no full stop at its end."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"\.+$", ""), r"^(?:www\.)+", "")
+
+
+def by_suffix(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, rule columns) of the rule (rule_host, ...) for the host itself or its nearest parent domain. Hosts are exploded to their few
+    suffixes, and the two are joined on equal names."""
+    one = hosts.select("host").distinct().select("host", F.posexplode(suffixes(plain_host(F.col("host")))).alias("level", "rule_host"))
+    best = one.join(rules, "rule_host").groupBy("host").agg(F.min(F.struct("level", *[c for c in rules.columns])).alias("x"))
+    return best.select("host", *[F.col(f"x.{c}") for c in rules.columns])
+
+
+def blocked(hosts: DataFrame, lists: DataFrame) -> DataFrame:
+    """(host, tier) of hosts that a list (tier, host) names, or a parent domain of which it does; of several tiers the hardest to lift."""
+    rank = F.array_position(F.lit(list(TIERS)), F.col("tier"))
+    named = lists.select(plain_host(F.col("host")).alias("rule_host"), rank.alias("rank")).filter("rank > 0").groupBy("rule_host").agg(F.min("rank").alias("rank"))
+    one = hosts.select("host").distinct().select("host", F.explode(suffixes(plain_host(F.col("host")))).alias("rule_host"))
+    found = one.join(named, "rule_host").groupBy("host").agg(F.min("rank").alias("rank"))
+    return found.select("host", F.element_at(F.lit(list(TIERS)), F.col("rank").cast("int")).alias("tier"))
+
+
+def paused(backlog: Column, most: int = 5000) -> Column:
+    """Whether producers wait, as too many rows stand before the consumers."""
+    return backlog >= most
+
+
+def poll_sitemaps(sitemaps: DataFrame, entries: DataFrame, visits: DataFrame, now: int, every: int = 6 * HOUR) -> DataFrame:
+    """URLs to be put into the frontier from sitemaps (sitemap, polled_at) that are due: entries (sitemap, url, lastmod) that changed since
+    their last visit, or that nothing is known of."""
+    due = sitemaps.filter(F.col("polled_at").isNull() | (F.col("polled_at") <= now - every)).select("sitemap")
+    return sitemap_verdicts(entries.join(due, "sitemap", "left_semi"), visits).filter("verdict <> 'unchanged'").select("url", "verdict").distinct()
+
+
+def crawl_step(frontier: DataFrame, hosts: DataFrame, fetched: DataFrame, lists: DataFrame, seen: DataFrame, now: int, most: int, cap: int = 10_000) -> dict[str, DataFrame]:
+    """One round over tables: URLs are claimed, those of listed hosts dropped, replies (url, status, content_hash, links) joined, and their new
+    links put into the frontier. Gives the claims, the outcomes, the documents to emit and the frontier's new rows."""
+    claims = claim(frontier, hosts, now, most)
+    shut = blocked(claims, lists).withColumnRenamed("host", "_host")
+    open_claims = claims.join(shut, claims["host"] == F.col("_host"), "left_anti")
+    replies = open_claims.join(fetched, "url", "left")
+    outcomes = replies.select("url", "host", outcome(F.col("status"), F.when(F.col("status").isNull(), F.lit("unreachable"))).alias("reason"), "next_due")
+    emitted = replies.filter(F.col("status").between(200, 299)).select("url", "host", "content_hash")
+    links = replies.filter(F.col("status").between(200, 299)).select(F.explode("links").alias("url"), (F.col("priority") + 1000).alias("priority"))
+    found = links.select("url", host_of(F.col("url")).alias("host"), "priority", F.lit(now).cast("long").alias("due_at")).filter("host <> ''")
+    return {"claims": claims, "outcomes": outcomes, "emitted": emitted, "found": add_to_frontier(frontier, found, seen.select("url").unionByName(frontier.select("url")).distinct(), cap)}
+
+
 def outcome(status: Column, error: Column) -> Column:
     """The label under which a fetch is counted."""
     return F.when(error.isNotNull(), F.concat(F.lit("error_"), error)).when(status == 304, "not_modified").when(status.between(200, 299), "fetched").when(status.between(300, 399), "redirected").when(status == 429, "rate_limited").when(status >= 500, "server_error").otherwise("refused")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.text import bands, hamming
+from siftline.functions.text import block_keys, hamming
 
 
 def new_only(batch: DataFrame, seen: DataFrame, key: str = "content_hash", order: str = "doc_id") -> DataFrame:
@@ -22,12 +22,14 @@ def _smallest(hashed: DataFrame) -> DataFrame:
     return hashed.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count("simhash").alias("n")).filter("n > 0").select("simhash", "doc_id")
 
 
-def near_links(hashed: DataFrame, most: int = 3, parts: int = 4) -> DataFrame:
+def near_links(hashed: DataFrame, most: int = 3) -> DataFrame:
     """(doc_id, simhash, near_id, distance): for each different hash its smallest document, linked to the smallest of each other hash within
-    `most` bits. Two hashes that near agree in a part, as there are more parts than bits that may differ; equal hashes are one row before
-    parts are joined, so copies make no pairs."""
+    `most` bits, at most three. Two hashes that near share a key of three blocks; equal hashes are one row before keys are joined, so
+    copies make no pairs."""
+    if most > 3:
+        raise ValueError("keys of three of six blocks find hashes that differ in at most three bits")
     one = _smallest(hashed)
-    dealt = one.select("doc_id", "simhash", F.explode(bands(F.col("simhash"), parts)).alias("b")).select("doc_id", "simhash", "b.band", "b.value")
+    dealt = one.select("doc_id", "simhash", F.explode(block_keys(F.col("simhash"))).alias("b")).select("doc_id", "simhash", "b.band", "b.value")
     other = dealt.select(F.col("doc_id").alias("near_id"), F.col("simhash").alias("near_hash"), "band", "value")
     pairs = dealt.join(other, ["band", "value"]).filter("doc_id < near_id").withColumn("distance", hamming(F.col("simhash"), F.col("near_hash")))
     return pairs.filter(F.col("distance") <= most).select("doc_id", "near_id", "distance").distinct()

@@ -77,7 +77,9 @@ def collapse(ranked: DataFrame, near: int = 3) -> DataFrame:
                 kept.append(bits)
         return group.sort_values("rank")[stays]
 
-    return ranked.groupBy("query_id").applyInPandas(one, ranked.schema)
+    # As text, since pandas makes a column of whole numbers and nulls one of doubles, which lose bits.
+    hashed = ranked.withColumn("simhash", F.col("simhash").cast("string"))
+    return hashed.groupBy("query_id").applyInPandas(one, hashed.schema).withColumn("simhash", F.col("simhash").cast("long"))
 
 
 def cap_domains(ranked: DataFrame, cap: int = 3) -> DataFrame:

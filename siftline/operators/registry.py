@@ -81,6 +81,11 @@ def noisy(texts: DataFrame, column: str, seed: int = 1) -> DataFrame:
     return texts.withColumn(column, F.array_join(F.transform(F.split(column, " "), word), " "))
 
 
+def oldest(datasets: DataFrame, now: int) -> DataFrame:
+    """How many data sets (name, updated_at) there are, and the age in seconds of the oldest."""
+    return datasets.agg(F.count("*").alias("n"), (F.lit(now) - F.min("updated_at")).alias("oldest_s"))
+
+
 def golden_queries(docs: DataFrame, per_language: int = 20, words: int = 3) -> DataFrame:
     """(id, query, lang) from titles, a quota for each language, by a hash of the id."""
     from pyspark.sql import Window

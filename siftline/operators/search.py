@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.text import terms
 from siftline.functions.urls import display_url
+from siftline.operators.sizes import small
 
 #: Searched fields in order of priority.
 FIELDS = ("title", "excerpt", "entities", "body", "translit_body", "author_name")
@@ -131,9 +134,10 @@ def with_typos(query_terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return near.filter("typos <= most").select("query_id", "term", "word", "typos")
 
 
-def query_terms(queries: DataFrame, most: int = 10) -> DataFrame:
-    """(query_id, term, n_terms) of a batch of (query_id, query)."""
-    words = F.slice(F.array_distinct(terms(F.col("query"))), 1, most)
+def query_terms(queries: DataFrame, most: int | None = None) -> DataFrame:
+    """(query_id, term, n_terms) of a batch of (query_id, query); `most` keeps so many different terms of each."""
+    words = F.array_distinct(terms(F.col("query")))
+    words = words if most is None else F.slice(words, 1, most)
     return queries.select("query_id", words.alias("words")).select("query_id", F.explode("words").alias("term"), F.size("words").alias("n_terms"))
 
 
@@ -141,7 +145,7 @@ def retrieve(asked: DataFrame, index: DataFrame, docs: DataFrame, pool: int = PO
     """The first `pool` documents of each query by ranking rules, one after the other: words matched, typos, proximity, field, exactness,
     date, quality, id. `asked` has (query_id, term, n_terms) and perhaps word and typos."""
     asked = asked if "word" in asked.columns else asked.withColumns({"word": F.col("term"), "typos": F.lit(0)})
-    hits = index.join(F.broadcast(asked), index["term"] == asked["word"]).select("query_id", asked["term"], "doc_id", "field", "pos", "typos")
+    hits = index.join(small(asked), index["term"] == asked["word"]).select("query_id", asked["term"], "doc_id", "field", "pos", "typos")
     first = hits.groupBy("query_id", "doc_id", "term").agg(F.min("typos").alias("typos"), F.min("field").alias("field"), F.min("pos").alias("pos"))
     scored = first.groupBy("query_id", "doc_id").agg(F.count("*").alias("words"), F.sum("typos").alias("typos"), (F.max("pos") - F.min("pos")).alias("spread"), F.min("field").alias("attribute"), F.sum((F.col("typos") == 0).cast("int")).alias("exact"))
     keys = docs.select("doc_id", "published_at", "quality_score")
@@ -153,18 +157,20 @@ def phrase_matches(phrases: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, doc_id) where all words of the query's phrase (query_id, phrase) stand one after the other in one field: postings agree on
     the start."""
     words = phrases.select("query_id", F.posexplode(terms(F.col("phrase"))).alias("at", "term"), F.size(terms(F.col("phrase"))).alias("n"))
-    starts = index.join(F.broadcast(words), "term").withColumn("start", F.col("pos") - F.col("at"))
+    starts = index.join(small(words), "term").withColumn("start", F.col("pos") - F.col("at"))
     return starts.groupBy("query_id", "doc_id", "field", "start", "n").agg(F.countDistinct("at").alias("k")).filter("k = n").select("query_id", "doc_id").distinct()
 
 
 def excluding(docs: DataFrame, excluded: list[str]) -> DataFrame:
     """Without documents whose folded title and body contain a folded term."""
+    from siftline.functions.language import folded
     from siftline.functions.text import fold
 
-    whole = fold(F.concat_ws(" ", "title", "body"))
-    for term in excluded:
-        docs = docs.filter(~F.contains(whole, fold(F.lit(term))))
-    return docs
+    if not excluded:
+        return docs
+    # Folded once, however many terms there are.
+    whole = docs.withColumn("_whole", fold(F.concat_ws(" ", "title", "body")))
+    return whole.filter(~reduce(or_, [F.contains("_whole", F.lit(folded(term))) for term in excluded])).drop("_whole")
 
 
 def facets(hits: DataFrame, columns: list[str], most: int = FACET_VALUES) -> DataFrame:
@@ -202,6 +208,32 @@ def cards(hits: DataFrame) -> DataFrame:
     return hits.withColumns({"display_url": display_url(F.col("url")), "shown_sentiment": F.when(F.col("sentiment_confidence") >= 0.35, F.col("sentiment_label")), "thumb": F.get("media", F.lit(0))})
 
 
+def by_recency(hits: DataFrame) -> DataFrame:
+    """The hits of each query ranked by date, the newest first, then by their place in relevance."""
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("published_at"), "pos"))
+    return hits.withColumn("rank", turn)
+
+
+def without_stop_words(terms: DataFrame, stop: list[str]) -> DataFrame:
+    """The terms (query_id, term) without stop words; a query of nothing else keeps them."""
+    marked = terms.withColumn("_stop", F.col("term").isin(stop))
+    only = marked.groupBy("query_id").agg(F.min("_stop").alias("_only"))
+    return marked.join(only, "query_id").filter(~F.col("_stop") | F.col("_only")).drop("_stop", "_only")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k vectors of the largest cosine with each query's. The queries are a stated set: each
+    task meets all of them, and only k rows a query and task go on."""
+    unit = lambda c: F.transform(c, lambda x: x.cast("double"))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    q = queries.select("query_id", unit(F.col("embedding")).alias("q")).withColumn("nq", norm(F.col("q")))
+    v = vectors.select("vec_id", unit(F.col("embedding")).alias("v")).withColumn("nv", norm(F.col("v")))
+    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    pairs = v.join(q, F.lit(True)).withColumn("similarity", F.when((F.col("nq") > 0) & (F.col("nv") > 0), dot / (F.col("nq") * F.col("nv"))))
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    return pairs.select("query_id", "vec_id", "similarity").withColumn("rank", turn).filter(F.col("rank") <= k)
+
+
 def listing(docs: DataFrame, domain: str | None, language: str | None, page: int, per_page: int) -> DataFrame:
     """An administrator's list, newest first."""
     rows = docs.filter(F.lit(True) if domain is None else F.col("domain") == domain).filter(F.lit(True) if language is None else F.col("language") == language)
@@ -214,6 +246,23 @@ def synonyms(concepts: DataFrame) -> DataFrame:
     return pairs.groupBy("term").agg(F.array_sort(F.collect_set("other")).alias("synonyms"))
 
 
+MOST_TERMS = 5_000
+
+
+def asked_terms(asked: DataFrame) -> list[str] | None:
+    """The different words of a batch of query terms, by which postings can be pruned; None if there are more than MOST_TERMS."""
+    column = "word" if "word" in asked.columns else "term"
+    rows = asked.select(column).distinct().limit(MOST_TERMS + 1).collect()
+    return [r[0] for r in rows] if len(rows) <= MOST_TERMS else None
+
+
+def read_index(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+    """The postings of a batch's terms: the filter is pushed to the files, which are ranges of terms."""
+    found = spark.read.parquet(path)
+    only = asked_terms(asked)
+    return found.join(asked.select("term").distinct(), "term", "left_semi") if only is None else found.filter(F.col("term").isin(only))
+
+
 def build_index(spark: SparkSession, docs: DataFrame, path: str) -> None:
     """Postings by range of term, so that a query's terms read few files."""
     postings(docs).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.text import fold_plain, trim_title
+from siftline.operators.sizes import small
 
 
 def build(curated: DataFrame, titles: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def by_prefix(index: DataFrame, prefixes: DataFrame, limit: int = 8) -> DataFram
     """Of each (query_id, prefix) of two characters and more the first 8 * limit keys in order, then the heaviest, shortest first. Keys and prefixes
     are joined by their first two characters; prefixes are a bounded batch."""
     asked = prefixes.withColumn("folded", fold_plain(F.col("prefix"))).filter(F.length("folded") >= 2).withColumn("head", F.left("folded", F.lit(2)))
-    found = index.withColumn("head", F.left("key", F.lit(2))).join(F.broadcast(asked), "head").filter(F.startswith("key", "folded"))
+    found = index.withColumn("head", F.left("key", F.lit(2))).join(small(asked), "head").filter(F.startswith("key", "folded"))
     scanned = found.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("key"))).filter(F.col("k") <= 8 * limit)
     return scanned.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), F.length("term"), "term"))).filter(F.col("rank") <= limit).select("query_id", "key", "term", "weight", "rank")
 

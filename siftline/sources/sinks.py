@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,12 +42,17 @@ def batches(jobs: DataFrame, lanes: int = 64) -> DataFrame:
                 out.append(batch)
             yield frame.assign(batch=out)
 
-    rows = jobs.select("id", "payload", F.octet_length("payload").alias("bytes"), F.pmod(F.xxhash64("id"), F.lit(lanes)).cast("int").alias("lane"))
+    lane = (F.conv(F.left(F.md5("id"), F.lit(6)), 16, 10).cast("long") % lanes).cast("int")
+    rows = jobs.select("id", "payload", F.octet_length("payload").alias("bytes"), lane.alias("lane"))
     return rows.repartition("lane").sortWithinPartitions("lane", "id").mapInPandas(run, "id string, payload string, bytes int, lane int, batch int")
 
 
-def upsert(table: DataFrame | None, rows: DataFrame, key: str = "id", version: str = "indexed_at") -> DataFrame:
-    """The table with rows put in by key; of several rows with one key the newest."""
+def upsert(table: DataFrame | None, rows: DataFrame, key: str = "id", version: str = "indexed_at", newer_only: bool = False) -> DataFrame:
+    """The table with rows put in by key; of several rows with one key the newest. Rows older than the table's own are left out if
+    `newer_only`, so that a batch which is delivered again, or late, undoes nothing."""
+    if newer_only and table is not None:
+        known = table.select(F.col(key).alias("_key"), F.col(version).alias("_known"))
+        rows = rows.join(known, (rows[key] == known["_key"]) & (known["_known"] > rows[version]), "left_anti")
     order = F.struct(F.col(version), F.xxhash64(*rows.columns).alias("tie"))
     newest = rows.withColumn("_v", order)
     best = newest.groupBy(key).agg(F.max("_v").alias("_v"))
@@ -78,28 +84,81 @@ class VersionedTable:
         v = self.versions()
         return self.spark.read.parquet(f"{self.root}/{self.name}_v{v[-1]}") if v else None
 
-    def write(self, frame: DataFrame) -> int:
+    def write(self, frame: DataFrame, keep: int = 3) -> int:
+        """A new version; beside it the last ones stay, for readers that began before it, and older ones go."""
         v = (self.versions() or [0])[-1] + 1
         frame.write.mode("overwrite").parquet(f"{self.root}/{self.name}_v{v}")
+        for old in self.versions()[:-keep]:
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self.name}_v{old}"), True)
         return v
 
     def put(self, rows: DataFrame, key: str = "id", version: str = "indexed_at") -> int:
-        return self.write(upsert(self.read(), rows, key, version))
+        return self.write(upsert(self.read(), rows, key, version, newer_only=True))
 
 
 def letters(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("payload string, reason string, at timestamp").parquet(path)
+    return spark.read.schema("payload string, reason string, at timestamp, batch string").parquet(path).drop("batch")
 
 
-def bury(rows: DataFrame, path: str) -> None:
-    """Append bad jobs to the dead letters."""
-    rows.select("payload", "reason", F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+def bury(rows: DataFrame, path: str, batch: int | None = None) -> None:
+    """Add bad jobs to the dead letters; those of a numbered batch replace what the same batch wrote before."""
+    name = uuid.uuid4().hex if batch is None else batch
+    rows.select("payload", "reason", F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{path}/batch={name}")
 
 
 def peek(dead: DataFrame, most: int = 20) -> DataFrame:
     return dead.orderBy(F.desc("at"), "payload").limit(most)
 
 
+def dead_count(dead: DataFrame) -> DataFrame:
+    return dead.agg(F.count("*").alias("n"))
+
+
+def replay(dead: DataFrame, most: int) -> DataFrame:
+    """The payloads of the newest letters, to be produced again; the letters are deleted once they are."""
+    return peek(dead, most).select("payload")
+
+
+MAX_QUEUE = 100_000
+
+
+def trim(queue: DataFrame, most: int = MAX_QUEUE) -> DataFrame:
+    """The newest rows (by seq) of a queue; what is older goes."""
+    return queue.orderBy(F.desc("seq")).limit(most)
+
+
+def produce(queue: DataFrame, rows: DataFrame, most: int = MAX_QUEUE) -> DataFrame:
+    """The queue (seq, payload) with rows (payload) behind its last: their numbers grow but may leave gaps, as no task counts them all."""
+    last = F.broadcast(queue.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_last")))
+    new = rows.select("payload", F.monotonically_increasing_id().alias("_k")).join(last, F.lit(True))
+    return trim(queue.unionByName(new.select((F.col("_last") + 1 + F.col("_k")).alias("seq"), "payload")), most)
+
+
+def pending(queue: DataFrame, delivered: DataFrame, acked: DataFrame) -> DataFrame:
+    """Rows that were delivered (seq) and not yet acknowledged (seq)."""
+    return queue.join(delivered.select("seq"), "seq", "left_semi").join(acked.select("seq"), "seq", "left_anti")
+
+
+def lag(queue: DataFrame, delivered: DataFrame) -> DataFrame:
+    """How many rows no consumer has been given."""
+    return queue.join(delivered.select("seq"), "seq", "left_anti").agg(F.count("*").alias("n"))
+
+
+def isolate(rows: list, sink) -> list:
+    """Rows that a sink refuses for good, found by halving: the sink takes a list, and raises ValueError if it can't. Every other row is
+    taken. Other errors are passed on, as they may not last."""
+    if not rows:
+        return []
+    try:
+        sink(rows)
+    except ValueError:
+        if len(rows) == 1:
+            return list(rows)
+        half = len(rows) // 2
+        return isolate(rows[:half], sink) + isolate(rows[half:], sink)
+    return []
+
+
 def write_report(values: dict, path: str, spark: SparkSession) -> None:
     spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

@@ -35,13 +35,14 @@ def near_dedup_batch(batch: DataFrame, known: DataFrame, most: int = 3) -> DataF
 
 
 def index_sink(table: VersionedTable, dead_path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: good jobs are upserted by id, bad ones go to the dead letters; a repeated batch changes nothing in the table."""
+    """For foreachBatch: good jobs are upserted by id, bad ones go to the dead letters; a repeated batch changes
+    nothing in either."""
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         good, bad = split_jobs(batch)
         rows = good.select(F.get_json_object("payload", "$.id").alias("id"), F.col("payload"), F.coalesce(F.get_json_object("payload", "$.indexed_at").cast("long"), F.lit(0)).alias("indexed_at"))
         table.put(rows)
-        bury(bad, dead_path)
+        bury(bad, dead_path, number)
 
     return run
 
