@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from siftline.plans import crawl_plans, relational_plans, search_plans, text_plans
+from siftline.plans import case_plans, crawl_plans, io_plans, relational_plans, search_plans, text_plans
 from siftline.plans.base import Query
 
-_MODULES = (text_plans, search_plans, crawl_plans, relational_plans)
+_MODULES = (text_plans, search_plans, crawl_plans, relational_plans, case_plans, io_plans)
 
 
 def queries() -> dict[str, Query]:

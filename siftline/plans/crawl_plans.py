@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import urls
 from siftline.functions.answers import answers
+from siftline.functions.fixed import LEADING_ONLY, QUESTION_PHRASES, QUESTION_WORDS
 from siftline.functions.language import is_question
 from siftline.operators import crawl
 from siftline.plans.base import Query, table
@@ -33,6 +34,17 @@ def crawl_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.revisit(visits).withColumn("visits", F.col("visits").cast("long"))
 
 
+# A page's history folded visit by visit: changes halve the interval, others add the floor; both stay in the trust's bounds.
+SQL["crawl_revisit"] = """
+WITH RECURSIVE v AS (SELECT 'u' || user_id AS url, user_id % 100 AS trust, event_type = 'purchase' AS changed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type IN ('view', 'purchase')),
+b AS (SELECT url, CASE WHEN trust >= 80 THEN 3600 WHEN trust >= 50 THEN 7200 ELSE 21600 END AS lo, CASE WHEN trust >= 80 THEN 259200 WHEN trust >= 50 THEN 1209600 ELSE 2592000 END AS hi, max(k) AS visits FROM v GROUP BY ALL),
+f AS (SELECT url, CAST(0 AS BIGINT) AS k, CAST(least(greatest(86400, lo), hi) AS BIGINT) AS i, CAST(0 AS BIGINT) AS streak, false AS volatile FROM b
+  UNION ALL SELECT url, k, CASE WHEN volatile THEN hi ELSE least(greatest(moved, lo), hi) END, streak, volatile FROM (
+    SELECT f.url, v.k, b.lo, b.hi, CASE WHEN v.changed AND f.i <= b.lo THEN f.streak + 1 ELSE 0 END AS streak, f.volatile OR (v.changed AND f.i <= b.lo AND f.streak >= 3) AS volatile,
+           CASE WHEN v.changed THEN f.i // 2 ELSE f.i + b.lo END AS moved FROM f JOIN v ON v.url = f.url AND v.k = f.k + 1 JOIN b ON b.url = f.url))
+SELECT url, i AS interval_s, CAST(streak AS INTEGER) AS streak, volatile, visits FROM f JOIN b USING (url) WHERE k = visits"""
+
+
 @plan
 def crawl_politeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
@@ -41,6 +53,14 @@ def crawl_politeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.politeness(replies).select("host", F.round("delay_s", 6).alias("delay_s"), F.col("replies").cast("long").alias("replies"))
 
 
+SQL["crawl_politeness"] = """
+WITH RECURSIVE v AS (SELECT 'h' || user_id AS host, CASE WHEN event_type <> 'error' THEN 200 WHEN event_id % 2 = 0 THEN 429 ELSE 503 END AS status, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+b AS (SELECT host, max(k) AS replies FROM v GROUP BY host),
+f AS (SELECT host, CAST(0 AS BIGINT) AS k, CAST(1.5 AS DOUBLE) AS delay FROM b
+  UNION ALL SELECT f.host, v.k, CAST(CASE v.status WHEN 429 THEN least(greatest(f.delay * 4, 60), 600) WHEN 503 THEN least(f.delay * 2, 300) ELSE greatest(f.delay * 0.9::DOUBLE, 1.5) END AS DOUBLE) FROM f JOIN v ON v.host = f.host AND v.k = f.k + 1)
+SELECT host, round(delay, 6) AS delay_s, replies FROM f JOIN b USING (host) WHERE k = replies"""
+
+
 @plan
 def crawl_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -182,12 +202,29 @@ def queue_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches(jobs).groupBy("lane", "batch").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
+# Lane by lane, a batch closes before the row that would make it too large.
+SQL["queue_batches"] = """
+WITH RECURSIVE j AS (SELECT CAST(CAST('0x' || left(md5(CAST(doc_id AS VARCHAR)), 6) AS BIGINT) % 64 AS INTEGER) AS lane, CAST(doc_id AS VARCHAR) AS id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS bytes, text IS NULL AS none FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY id) AS k FROM j),
+f AS (SELECT lane, k, CAST(0 AS INTEGER) AS batch, CAST(1 AS BIGINT) AS n, bytes AS size FROM r WHERE k = 1
+  UNION ALL SELECT r.lane, r.k, CAST(f.batch + CASE WHEN f.n >= 500 OR f.size + r.bytes > 4194304 THEN 1 ELSE 0 END AS INTEGER), CASE WHEN f.n >= 500 OR f.size + r.bytes > 4194304 THEN 1 ELSE f.n + 1 END,
+            CASE WHEN f.n >= 500 OR f.size + r.bytes > 4194304 THEN r.bytes ELSE f.size + r.bytes END FROM f JOIN r ON r.lane = f.lane AND r.k = f.k + 1)
+SELECT lane, batch, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM f JOIN r USING (lane, k) GROUP BY lane, batch"""
+
+
 @plan
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", is_question(F.coalesce("text", F.lit(""))).alias("question"))
 
 
+SQL["questions"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS raw, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS n FROM conversations),
+w AS (SELECT *, list_transform(list_filter(string_split(n, ' '), lambda x: x <> ''), lambda x: regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')) AS w FROM t)
+SELECT conv_id, turn, regexp_matches(trim(raw), '[?؟]$') OR """ + " OR ".join(f"contains(n, '{p.replace(chr(39), chr(39) * 2)}')" for p in QUESTION_PHRASES) + """
+  OR (len(w) >= 2 AND (list_has_any(w, [""" + ", ".join(f"'{w}'" for w in QUESTION_WORDS if w not in LEADING_ONLY) + "]) OR list_contains([" + ", ".join(f"'{w}'" for w in QUESTION_WORDS) + "], w[1]))) AS question FROM w"
+
+
 @plan
 def instant_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_size").distinct()

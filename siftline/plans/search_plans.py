@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from siftline.functions.text import fold_plain, tokens
 from siftline.operators import dedup, evaluate, rank, search, suggest
+from siftline.operators.sizes import small
 from siftline.plans.base import ASKED, CRAWLED, NOW, TERMS, Query, asked, crawled, table
+from siftline.plans.text_plans import SQL as _TEXT_SQL
+from siftline.sources.scratch import scratch
 
+SIMHASH = _TEXT_SQL["text_simhash"]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -33,10 +37,14 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.retrieve(search.query_terms(asked(spark, sf_dir)), search.postings(docs), docs)
 
 
+def _trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trust by source, as a dimension."""
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("source_id")).distinct().withColumn("trust", F.when(F.substring("source_id", 4, 2).cast("int") % 3 == 0, 1.0).when(F.substring("source_id", 4, 2).cast("int") % 3 == 1, 0.6).otherwise(0.3))
+
+
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _hits(spark, sf_dir).select("query_id", "doc_id", "pos").join(crawled(spark, sf_dir).drop("title", "body"), "doc_id").join(F.broadcast(asked(spark, sf_dir)), "query_id")
-    trust = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id")).distinct().withColumn("trust", F.when(F.substring("source_id", 4, 2).cast("int") % 3 == 0, 1.0).when(F.substring("source_id", 4, 2).cast("int") % 3 == 1, 0.6).otherwise(0.3))
-    return rank.cap_domains(rank.signals(hits, trust, NOW))
+    hits = _hits(spark, sf_dir).select("query_id", "doc_id", "pos").join(crawled(spark, sf_dir).drop("title", "body"), "doc_id").join(small(asked(spark, sf_dir)), "query_id")
+    return rank.cap_domains(rank.signals(hits, _trust(spark, sf_dir), NOW))
 
 
 _RANKED = f"""{_HITS},
@@ -60,6 +68,48 @@ def search_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["search_flagship"] = f"WITH {_RANKED} SELECT query_id, doc_id, domain, round(CAST(score AS DOUBLE), 6) AS score, CAST(rank AS BIGINT) AS rank FROM ranked WHERE rank BETWEEN 1 AND 20"
 
 
+@plan
+def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole second ranking: signals, collapse of near copies by SimHash, domain cap. Hashes are made of the hits' texts only."""
+    from siftline.functions.text import normalize, simhash
+
+    hits = _hits(spark, sf_dir).select("query_id", "doc_id", "pos")
+    docs = crawled(spark, sf_dir)
+    hashed = docs.join(small(hits.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", simhash(normalize(F.col("body"))).alias("simhash"))
+    whole = hits.join(docs.drop("title", "body"), "doc_id").join(hashed, "doc_id").join(small(asked(spark, sf_dir)), "query_id")
+    return search.page_of(rank.rerank(whole, _trust(spark, sf_dir), NOW), 1, 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+SQL["search_reranked"] = f"""WITH RECURSIVE sh AS ({SIMHASH}), {_RANKED.removeprefix('WITH ')},
+near AS (SELECT rk.*, CAST('0x' || simhash AS UBIGINT) AS h FROM rk JOIN sh USING (doc_id)),
+fold AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS r, CAST([] AS UBIGINT[]) AS kept, CAST(NULL AS BIGINT) AS doc_id, false AS stays FROM near
+  UNION ALL SELECT n.query_id, n.r0, CASE WHEN n.h IS NOT NULL AND len(list_filter(f.kept, lambda x: bit_count(xor(x, n.h)) <= 3)) = 0 THEN list_append(f.kept, n.h) ELSE f.kept END, n.doc_id,
+    n.h IS NULL OR len(list_filter(f.kept, lambda x: bit_count(xor(x, n.h)) <= 3)) = 0 FROM fold f JOIN near n ON n.query_id = f.query_id AND n.r0 = f.r + 1),
+left_in AS (SELECT n.query_id, n.doc_id, n.score, n.r0, row_number() OVER (PARTITION BY n.query_id, n.domain ORDER BY n.r0) AS turn FROM near n JOIN fold f ON f.query_id = n.query_id AND f.doc_id = n.doc_id WHERE f.stays)
+SELECT query_id, doc_id, round(CAST(score AS DOUBLE), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN turn > 3 THEN 1 ELSE 0 END, r0) AS rank FROM left_in QUALIFY rank <= 20"""
+
+
+@plan
+def search_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of every query, the newest first."""
+    return search.by_recency(_hits(spark, sf_dir)).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+SQL["search_recency"] = f"WITH {_HITS} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY published_at DESC, pos) AS rank FROM hits"
+
+
+@plan
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval over an index that was written before: only the ranges of the batch's terms are read."""
+    docs, terms = crawled(spark, sf_dir), search.query_terms(asked(spark, sf_dir))
+    path = scratch(spark, "index")
+    search.build_index(spark, docs, path)
+    return search.retrieve(terms, search.read_index(spark, path, terms), docs).select("query_id", "doc_id", F.col("pos").cast("long").alias("pos"))
+
+
+SQL["search_indexed"] = f"WITH {_HITS} SELECT query_id, doc_id, CAST(pos AS BIGINT) AS pos FROM hits"
+
+
 @plan
 def search_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).select("query_id", "doc_id", F.col("words").cast("long").alias("words"), F.col("spread").cast("long").alias("spread"), F.col("attribute").cast("long").alias("attribute"), F.col("pos").cast("long").alias("pos"))
@@ -191,6 +241,15 @@ def suggest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.merge(legs).select("query_id", "key", F.col("rank").cast("long").alias("rank"))
 
 
+SQL["suggest_merge"] = rf"""
+WITH {CRAWLED}, l AS (SELECT doc_id % 20 AS query_id, unnest([left(title, 4), left(title, 8)]) AS term, (doc_id % 9) / 9.0::DOUBLE AS weight FROM crawled),
+k AS (SELECT *, trim(regexp_replace(lower(term), '\s+', ' ', 'g')) AS key FROM l),
+o AS (SELECT query_id, key, max(row(weight, term)) AS x FROM k GROUP BY ALL),
+p AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY x[1] DESC, length(x[2]), x[2]) AS place FROM o QUALIFY place <= 64),
+s AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.query_id = p.query_id AND b.place < p.place AND length(b.key) > length(p.key) AND starts_with(b.key, p.key)))
+SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM s QUALIFY rank <= 8"""
+
+
 def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = asked(spark, sf_dir).select("query_id")
     labels = table(spark, sf_dir, "labels")
@@ -259,9 +318,9 @@ SELECT tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS rec
 def evaluate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = asked(spark, sf_dir).select("query_id", F.explode(tokens(F.lower("query"))).alias("w"))
     held = crawled(spark, sf_dir).select("doc_id", F.lower("title").alias("title"))
-    share = held.join(F.broadcast(words), F.contains("title", "w"))
+    share = held.join(small(words), F.contains("title", "w"))
     n = words.groupBy("query_id").agg(F.count("*").alias("n"))
-    graded = share.groupBy("query_id", "doc_id").agg(F.count("*").alias("k")).join(F.broadcast(n), "query_id")
+    graded = share.groupBy("query_id", "doc_id").agg(F.count("*").alias("k")).join(small(n), "query_id")
     return graded.select("query_id", "doc_id", evaluate.grade_by_coverage(F.col("k") / F.col("n")).cast("long").alias("grade"))
 
 
@@ -286,10 +345,17 @@ SELECT min(doc_id) AS doc_id, content_hash FROM d WHERE doc_id % 10 <> 0 AND con
 def dedup_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftline.functions.text import normalize, simhash
 
-    hashed = table(spark, sf_dir, "documents").select("doc_id", simhash(normalize(F.coalesce("text", F.lit("")))).alias("simhash"))
+    # Hashed once: the few bytes of each document are kept for both sides of the joins.
+    hashed = table(spark, sf_dir, "documents").select("doc_id", simhash(normalize(F.coalesce("text", F.lit("")))).alias("simhash")).persist()
     return dedup.near_links(hashed).unionByName(dedup.hash_members(hashed))
 
 
+SQL["dedup_near"] = f"""
+WITH s AS ({SIMHASH}), h AS (SELECT doc_id, CAST('0x' || simhash AS UBIGINT) AS h FROM s WHERE simhash IS NOT NULL), f AS (SELECT h, min(doc_id) AS doc_id FROM h GROUP BY h)
+SELECT a.doc_id, b.doc_id AS near_id, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM f a JOIN f b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 3
+UNION ALL SELECT DISTINCT f.doc_id, h.doc_id, 0 FROM h JOIN f USING (h) WHERE f.doc_id < h.doc_id"""
+
+
 @plan
 def dedup_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = crawled(spark, sf_dir).withColumns({"cluster_id": F.sha2("body", 256), "trust": F.col("doc_id") % 3, "engagement": F.col("doc_id") % 100})

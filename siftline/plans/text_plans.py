@@ -111,6 +111,24 @@ def text_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawled(spark, sf_dir).select("doc_id", F.array_join(enrich.topics(words), ",").alias("topics"), enrich.region(words)["code"].alias("region"))
 
 
+def _topic_hits(label: str) -> str:
+    keys = ", ".join(f"'{enrich.folded_keyword(k)}'" for k in enrich.TOPICS[label])
+    return f"SELECT doc_id, '{label}' AS label, len(list_filter(w, lambda x: list_contains([{keys}], x))) AS n FROM t"
+
+
+_REGIONS = "VALUES " + ", ".join(f"('{name}', {code})" for name, code in enrich.region_names().items())
+SQL["text_topics"] = rf"""
+WITH {CRAWLED}, t AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(title || ' ' || body), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM crawled),
+h AS ({" UNION ALL ".join(map(_topic_hits, enrich.TOPICS))}),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, label) AS place FROM h WHERE n >= 2),
+p AS (SELECT doc_id, list_transform(w, lambda x: trim(regexp_replace(regexp_replace(translate(x, 'àâäáãåçèéêëìíîïñòóôöõùúûüýÿœ', 'aaaaaaceeeeiiiinooooouuuuyyo'), '[''’-]', ' ', 'g'), ' +', ' ', 'g'))) AS p FROM t),
+r AS (SELECT doc_id, unnest(list_concat(p, list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1]), list_transform(range(1, len(p) - 1), lambda i: p[i] || ' ' || p[i + 1] || ' ' || p[i + 2]))) AS run FROM p),
+c AS (SELECT doc_id, code, count(*) AS n FROM r JOIN ({_REGIONS}) AS v(run, code) USING (run) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) AS place FROM c),
+g AS (SELECT a.doc_id, a.code FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id AND b.place = 2 WHERE a.place = 1 AND NOT (a.n = 1 AND coalesce(b.n = 1, false)))
+SELECT t.doc_id, coalesce((SELECT string_agg(label, ',' ORDER BY place) FROM k WHERE k.doc_id = t.doc_id AND place <= 3), '') AS topics, CAST(g.code AS INTEGER) AS region FROM t LEFT JOIN g USING (doc_id)"""
+
+
 @plan
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = crawled(spark, sf_dir)
@@ -139,8 +157,7 @@ def text_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawled(spark, sf_dir).select("doc_id", text.highlight(F.col("title"), ["the", "de", "und"]).alias("title"))
 
 
-SQL["text_highlight"] = rf"WITH {CRAWLED} SELECT doc_id, regexp_replace(title, '(?i)(^|[^\p{{L}}\p{{N}}_])(the|und|de)($|[^\p{{L}}\p{{N}}_])', '\1<em>\2</em>\3', 'g') AS title FROM crawled"
-del SQL["text_highlight"]  # word ends differ between the two regular expression dialects; tests hold it
+# Word ends differ between the two regular expression dialects, so tests hold this one.
 
 
 @plan
@@ -181,6 +198,14 @@ def pages_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"), urls.unsafe(F.col("url")).alias("unsafe"), urls.display_url(F.col("url")).alias("shown"))
 
 
+SQL["pages_canonical"] = r"""
+WITH p AS (SELECT page_id, string_split(url, '#')[1] AS u FROM pages),
+q AS (SELECT page_id, regexp_extract(u, '^([a-z]+://[^/?]+)', 1) AS head, regexp_extract(u, '^[a-z]+://[^/?]+([^?]*)', 1) AS path, list_sort(list_filter(string_split(string_split(u, '?')[2], '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)='))) AS params FROM p),
+s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '')[1:2] AS segs, regexp_replace(regexp_extract(head, '//(.*)', 1), '^(www\.)+', '') AS host FROM q)
+SELECT page_id, head || CASE WHEN path LIKE '%/' AND path NOT LIKE '%//' THEN left(path, length(path) - 1) ELSE path END || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical,
+       CAST(NULL AS VARCHAR) AS unsafe, array_to_string(list_concat([host], list_transform(segs, lambda x: replace(replace(x, '-', ' '), '_', ' '))), ' › ') AS shown FROM s"""
+
+
 @plan
 def pages_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_pages(table(spark, sf_dir, "pages"), 1_750_000_000).select("page_id", "title", F.length("body").cast("long").alias("n_chars"), "method", "precision", F.size("outlinks").cast("long").alias("links"), "error")

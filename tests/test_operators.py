@@ -118,3 +118,43 @@ def test_suggestions(spark):
     assert [(r.key, r.weight) for r in got] == [("oran", 1.0), ("orange", 1.0), ("oran ville", pytest.approx(0.18))]
     legs = spark.createDataFrame([(1, "oranges", "oranges", 0.9), (1, "oran", "oran", 0.5), (1, "zed", "zed", 0.7)], "query_id long, key string, term string, weight double")
     assert [r.key for r in suggest.merge(legs).orderBy("rank").collect()] == ["oranges", "zed"]
+
+
+def test_near_links_are_all_pairs(spark):
+    """Hashes that differ in up to three bits anywhere, beside others: the keys lose no pair."""
+    import random
+
+    rng = random.Random(7)
+    hashes = []
+    for _ in range(60):
+        base = rng.getrandbits(64)
+        hashes += [base, *(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(3))]
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    rows = spark.createDataFrame(list(enumerate(signed)), "doc_id long, simhash long")
+    first = {}
+    for k, h in enumerate(hashes):
+        first.setdefault(h, k)
+    want = {(a, b, (x ^ y).bit_count()) for x, a in first.items() for y, b in first.items() if a < b and (x ^ y).bit_count() <= 3}
+    assert {tuple(r) for r in dedup.near_links(rows).collect()} == want and len(want) > 60
+
+
+def test_collapse_keeps_all_bits_beside_nulls(spark):
+    big = (1 << 62) + 1
+    rows = spark.createDataFrame([(1, 1, big), (1, 2, big ^ 0b1111), (1, 3, None), (1, 4, big ^ 0b111), (1, 5, None)], "query_id long, rank int, simhash long")
+    assert sorted(r["rank"] for r in rank.collapse(rows).collect()) == [1, 2, 3, 5]
+
+
+def test_index_reads_only_the_terms_asked(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"t{k}", f"word{k} common") for k in range(50)], "doc_id long, title string, body string")
+    path = str(tmp_path / "index")
+    search.build_index(spark, docs, path)
+    found = search.read_index(spark, path, spark.createDataFrame([(1, "word7"), (1, "t9")], "query_id long, term string"))
+    assert {(r.term, r.doc_id) for r in found.collect()} == {("word7", 7), ("t9", 9)}
+    assert "PushedFilters: [In(term, [t9,word7])]" in found._jdf.queryExecution().executedPlan().toString().replace("[word7,t9]", "[t9,word7]")
+
+
+def test_stop_words_and_recency(spark):
+    terms = spark.createDataFrame([(1, "the"), (1, "cat"), (2, "the"), (2, "of")], "query_id long, term string")
+    assert {tuple(r) for r in search.without_stop_words(terms, ["the", "of"]).select("query_id", "term").collect()} == {(1, "cat"), (2, "the"), (2, "of")}
+    hits = spark.createDataFrame([(1, 10, 1, 5), (1, 11, 2, 9), (1, 12, 3, 9)], "query_id long, doc_id long, pos long, published_at long")
+    assert [r.doc_id for r in search.by_recency(hits).orderBy("rank").collect()] == [11, 12, 10]

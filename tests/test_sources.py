@@ -105,3 +105,41 @@ def test_queue_validates_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.reason: r.n for r in catalog.queries()["queue_validation"](spark, str(tmp_path)).collect()}
     assert got == {"too_large": 2, "ok": 2, "empty": 3, "missing_id": 1, "not_an_object": 1}
+
+
+def test_poison_is_isolated_by_halves():
+    taken = []
+
+    def sink(rows):
+        if any(r % 7 == 3 for r in rows):
+            raise ValueError
+        taken.extend(rows)
+
+    assert sinks.isolate(list(range(40)), sink) == [3, 10, 17, 24, 31, 38]
+    assert sorted(taken) == [r for r in range(40) if r % 7 != 3] and sinks.isolate([], sink) == []
+
+
+def test_versions_expire_and_late_rows_undo_nothing(spark, tmp_path):
+    kept = sinks.VersionedTable(spark, str(tmp_path), "t")
+    for k, at in enumerate([5, 9, 7, 8, 9]):
+        kept.put(spark.createDataFrame([("a", at, k), (f"b{k}", 1, k)], "id string, indexed_at long, k int"))
+    assert kept.versions() == [3, 4, 5]
+    assert {r.id: (r.indexed_at, r.k) for r in kept.read().collect()} == {"a": (9, 4), **{f"b{k}": (1, k) for k in range(5)}}
+
+
+def test_a_repeated_batch_buries_once(spark, tmp_path):
+    bad = spark.createDataFrame([("p", "empty"), ("q", "empty")], "payload string, reason string")
+    for batch in (1, 1, 2, None):
+        sinks.bury(bad, str(tmp_path / "dead"), batch)
+    assert sinks.letters(spark, str(tmp_path / "dead")).count() == 6
+
+
+def test_queues_keep_their_newest(spark):
+    queue = spark.createDataFrame([(k, f"p{k}") for k in range(10)], "seq long, payload string")
+    more = sinks.produce(queue, spark.createDataFrame([("n",)] * 5, "payload string"), 8)
+    rows = sorted(tuple(r) for r in more.collect())
+    assert [p for _, p in rows] == ["p7", "p8", "p9", *["n"] * 5] and len({s for s, _ in rows}) == 8
+    empty = queue.limit(0)
+    assert sinks.produce(empty, queue.select("payload"), 100).count() == 10
+    assert sinks.lag(queue, queue.filter("seq < 4")).first()[0] == 6
+    assert sinks.pending(queue, queue.filter("seq < 4"), queue.filter("seq = 2")).count() == 3
