@@ -42,6 +42,8 @@ MARGIN = 0.15
 BLOCK = 512
 #: A worker keeps so many words' hashes.
 MOST_WORDS = 250_000
+#: So many characters of texts are shingled and sketched at once.
+AT_ONCE = 250_000
 _U = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -147,33 +149,36 @@ def _band_keys(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _few(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """A batch in pieces of AT_ONCE characters or so, or one text that has more, with their texts (the second column)."""
+    texts, first = batch.column(1), 0
+    while first < batch.num_rows:
+        few, size = [], 0
+        while first + len(few) < batch.num_rows and size < AT_ONCE:
+            few.append(texts[first + len(few)].as_py())
+            size += len(few[-1] or "")
+        yield batch.slice(first, len(few)), few
+        first += len(few)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "set_id", "registers", "bands"]
     for batch in batches:
-        texts, at = batch.column(1), 0
-        while at < batch.num_rows:
-            few, size, first = [], 0, at
-            while at < batch.num_rows and size < 250_000:
-                few.append(texts[at].as_py())
-                size += len(few[-1] or "")
-                at += 1
-            sets = shingle_sets(few)
+        for rows, texts in _few(batch):
+            sets = shingle_sets(texts)
             registers = sketch(sets)
-            filled = np.array([len(s) > 0 for s in sets])
             set_ids = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-            keys = _band_keys(registers)
-            bands = [row.tolist() if x else None for row, x in zip(keys, filled)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids, pa.string()), pa.array([r.tobytes() for r in registers], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=names)
+            bands = [row.tolist() if len(s) else None for row, s in zip(_band_keys(registers), sets)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids, pa.string()), pa.array([r.tobytes() for r in registers], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=names)
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sketch and full set of documents that share a bucket with others."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            few = batch.slice(at, 500)
-            sets = shingle_sets(few.column(1).to_pylist())
+        for rows, texts in _few(batch):
+            sets = shingle_sets(texts)
             registers = sketch(sets)
-            columns = [few.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([r.tobytes() for r in registers], pa.binary()), pa.array([k.tobytes() for k in _band_keys(registers)], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            columns = [rows.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([r.tobytes() for r in registers], pa.binary()), pa.array([k.tobytes() for k in _band_keys(registers)], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "registers", "keys", "members"])
 
 
@@ -251,25 +256,34 @@ def _links(group: dict[str, np.ndarray], members: list, within: bool, limit: tup
     return out
 
 
-def _across(batches: Iterator[pa.RecordBatch], limit: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket and pair of blocks; each such group, of 2 * BLOCK rows or so, gives its links."""
-    held: pa.Table | None = None
-    for batch in chain(batches, [None]):
-        parts = [x for x in (held, pa.Table.from_batches([batch]) if batch is not None and batch.num_rows else None) if x is not None]
-        if not parts:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come sorted by bucket and pair of blocks, in tables of whole such groups. What is held of an open group is not copied
+    until it ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        table = pa.concat_tables(parts).combine_chunks()
+        keys = [np.concatenate([held[-1].column(k).to_numpy()[-1:], batch.column(k).to_numpy()]) if held else batch.column(k).to_numpy() for k in ("band", "low", "high")]
+        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + (0 if held else 1)
+        if len(new):
+            cut = int(new[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _across(batches: Iterator[pa.RecordBatch], limit: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """The links of each group, of 2 * BLOCK rows or so."""
+    for table in _groups(batches):
         keys = [table.column(k).to_numpy() for k in ("band", "low", "high")]
-        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        bounds = [0, *cuts.tolist(), *([table.num_rows] if batch is None else [])]
-        held = None if batch is None else table.slice(bounds[-1])
-        done = table.slice(0, bounds[-1])
-        if not done.num_rows:
-            continue
-        columns = {k: done.column(k).to_numpy() for k in ("band", "node", "label", "block", "n")}
-        columns["registers"] = np.frombuffer(b"".join(done.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        columns["keys"] = np.frombuffer(b"".join(done.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
-        members = [x.as_buffer() for x in done.column("members")]
+        bounds = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), table.num_rows]
+        columns = {k: table.column(k).to_numpy() for k in ("band", "node", "label", "block", "n")}
+        columns["registers"] = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        columns["keys"] = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
+        members = [x.as_buffer() for x in table.column("members")]
         links: set[tuple[int, int]] = set()
         for a, b in zip(bounds[:-1], bounds[1:]):
             links.update(_links({k: v[a:b] for k, v in columns.items()}, members[a:b], keys[1][a] == keys[2][a], limit))

@@ -461,3 +461,17 @@ def test_odd_tables(spark, table, request, rows, benchmark):
     assert neardup.link_documents(spark, docs).count() == n
     assert neardup.drop_near_duplicates(spark, docs).columns == docs.columns
     assert decontaminate.mark_contaminated(spark, docs, benchmark.limit(0)).filter("n_hit > 0").count() == 0
+
+
+def test_groups_end_where_their_keys_change():
+    """Groups over many batches, batches of many groups and empty batches come as whole groups, in order."""
+    rng = np.random.default_rng(5)
+    keys = sorted((int(rng.integers(0, 9)), int(rng.integers(0, 3)), int(rng.integers(0, 2))) for _ in range(300))
+    whole = pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys]) for i in range(3)] + [pa.array(range(300))], names=["band", "low", "high", "node"])
+    for size in (1, 2, 7, 50, 300):
+        batches = [whole.slice(a, size) for a in range(0, 300, size)]
+        tables = list(neardup._groups(iter([whole.slice(0, 0), *batches, whole.slice(0, 0)])))
+        assert [x for t in tables for x in t.column("node").to_pylist()] == list(range(300))
+        ends = [tuple(t.column(k)[-1].as_py() for k in ("band", "low", "high")) for t in tables]
+        starts = [tuple(t.column(k)[0].as_py() for k in ("band", "low", "high")) for t in tables]
+        assert all(a != b for a, b in zip(ends, starts[1:]))
