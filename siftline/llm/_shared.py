@@ -94,6 +94,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
+def through_arrow(frame: DataFrame, function) -> DataFrame:
+    """mapInArrow of whole rows, all columns, whatever their names: those but doc_id and text have other names on the way."""
+    names = [c if c in ("doc_id", "text") else f"_column{k}" for k, c in enumerate(frame.columns)]
+    plain = frame.toDF(*names)
+    return plain.mapInArrow(function, plain.schema).toDF(*frame.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions the session's cluster wants after a shuffle."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -32,7 +32,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._shared import fresh_path, small_batches, text_of
+from siftline.llm._shared import fresh_path, small_batches, text_of, through_arrow
 
 WINDOW = 13
 SHARD_WORDS = 2_000_000
@@ -346,4 +346,4 @@ def longest_matches(spark: SparkSession, documents: DataFrame, benchmark: DataFr
 
 def decontaminate(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, all columns, without the contaminated rows; no row moves."""
-    return documents.mapInArrow(_clean(_test_set(spark, benchmark, window)), documents.schema)
+    return through_arrow(documents, _clean(_test_set(spark, benchmark, window)))

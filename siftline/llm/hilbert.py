@@ -94,7 +94,7 @@ def _placed(rows: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
 
 
 def shard_documents(spark: SparkSession, documents: DataFrame, shards: int = SHARDS, whole_rows: bool = True) -> DataFrame:
-    """Per row its own columns (whole_rows) or doc_id, size, text_crc32 and curve_index, with shard and slot, its place in the shard. Whole rows
+    """Per row its own columns (whole_rows; a shard or slot of its own is replaced) or doc_id, size, text_crc32 and curve_index, with shard and slot, its place in the shard. Whole rows
     move once, by cell and slice; a text of any length is moved only if asked for."""
     rows = _described(documents)
     narrow = settle(spark, rows.drop("row"), "metadata")
@@ -118,7 +118,8 @@ def shard_documents(spark: SparkSession, documents: DataFrame, shards: int = SHA
     # Shard s begins at the smallest rank r with r * shards div total = s.
     ranked = ranked.withColumn("shard", F.expr(f"cast((rank * {shards}) div total as int)"))
     slot = (F.col("rank") - F.expr(f"(shard * total + {shards - 1}) div {shards}")).alias("slot")
-    return ranked.select("row.*", "shard", slot) if whole_rows else ranked.select("doc_id", "size", "text_crc32", "curve_index", "shard", slot)
+    own = [F.col(f"row.`{c}`") for c in documents.columns if c.lower() not in ("shard", "slot")]
+    return ranked.select(*own, "shard", slot) if whole_rows else ranked.select("doc_id", "size", "text_crc32", "curve_index", "shard", slot)
 
 
 def write_shards(sharded: DataFrame, path: str, shards: int = SHARDS) -> None:

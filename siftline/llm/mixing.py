@@ -161,14 +161,16 @@ def taken_words(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
 
 def mix(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """The mix: each row of documents as often as it is drawn, all columns, with mix_shard and mix_key, by which a shard's rows are ordered."""
+    """The mix: each row of documents as often as it is drawn, all columns, with mix_shard and mix_key, by which a shard's rows are ordered;
+    columns of its own with these names are replaced."""
     sized = settle(spark, sized_documents(documents).drop("doc_id"), "sized")
     draws = settle(spark, _by_block(plan(spark, sized)[0]), "dealt")
     digest = _hash(SEED, F.lit("block"), "doc_id")
     names = documents.columns
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").cast("string").alias("source"), _two_digits(digest, 1).alias("part"), _two_digits(digest, 3).alias("sub"), digest.alias("digest"))
     own = _draws_of(rows, draws).select("row", "digest", F.explode("own").alias("draw"))
-    return own.select("row.*", F.col("draw.shard").alias("mix_shard"), F.md5(F.concat_ws("/", "digest", F.col("draw.pass").cast("string"))).alias("mix_key"))
+    kept = [F.col(f"row.`{c}`") for c in names if c.lower() not in ("mix_shard", "mix_key")]
+    return own.select(*kept, F.col("draw.shard").alias("mix_shard"), F.md5(F.concat_ws("/", "digest", F.col("draw.pass").cast("string"))).alias("mix_key"))
 
 
 def ordered(mixed: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._shared import bounded, settle, small_batches, text_of
+from siftline.llm._shared import bounded, settle, small_batches, text_of, through_arrow
 
 FEATURES = 256
 WIDTH = 6.0
@@ -188,4 +188,4 @@ def keep_good(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> D
                 x = np.array([statistics(t.as_py()) for t in texts.slice(at, 1000)], float).reshape(-1, len(STATISTICS))
                 yield batch.slice(at, 1000).filter(pa.array(model.score(x) >= THRESHOLD))
 
-    return documents.mapInArrow(good, documents.schema)
+    return through_arrow(documents, good)
