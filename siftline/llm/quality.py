@@ -138,10 +138,20 @@ def fit(spark: SparkSession, described: DataFrame, labels: DataFrame) -> Model:
                 right += z.T @ batch.column(1).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["l", "r"])
 
-    # A task for each of FIT_PARTITIONS sums what it reads, so the driver adds as many matrices at most, whatever the input.
-    parts = rows.filter("fold < 2").select("x", "y").coalesce(FIT_PARTITIONS).mapInArrow(equations, "l binary, r binary").toLocalIterator()
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = np.zeros((FEATURES + 1) ** 2), np.zeros(FEATURES + 1)
+        for batch in batches:
+            for one, other in zip(batch.column(0), batch.column(1)):
+                left += np.frombuffer(one.as_buffer())
+                right += np.frombuffer(other.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["l", "r"])
+
+    # Every task sums what it reads; of many such sums, FIT_PARTITIONS tasks add some each, so the driver adds as many at most.
+    parts = rows.filter("fold < 2").select("x", "y").mapInArrow(equations, "l binary, r binary")
+    if rows.rdd.getNumPartitions() > FIT_PARTITIONS:
+        parts = parts.repartition(FIT_PARTITIONS).mapInArrow(added, "l binary, r binary")
     left, right = np.eye(FEATURES + 1) * RIDGE * n, np.zeros(FEATURES + 1)
-    for part in parts:
+    for part in parts.toLocalIterator():
         left += np.frombuffer(part[0]).reshape(left.shape)
         right += np.frombuffer(part[1])
     model = Model(float(prior), mean, scale, np.linalg.solve(left, right))

@@ -71,10 +71,13 @@ def test_stages_take_odd_tables(spark, odd, tmp_path):
                 assert again.filter("doc_id is null").count() == 3
 
 
-def test_scores_as_plain_equations(spark):
-    """The model fitted from partition sums is the one that the whole matrix gives."""
+@pytest.mark.parametrize("most", [32, 2])
+def test_scores_as_plain_equations(spark, monkeypatch, most):
+    """The model fitted from partition sums, or from sums of these, is the one that the whole matrix gives."""
     import random
 
+    monkeypatch.setattr(quality, "FIT_PARTITIONS", most)
+
     rng = random.Random(12)
     rows = []
     for k in range(400):
