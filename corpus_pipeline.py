@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.llm import decontaminate, hilbert, mixing, neardup, quality
-from siftline.llm._shared import settle
+from siftline.llm._shared import drop_path, fresh_path, settle
 
 
 def _columns(docs: DataFrame) -> list[str]:
@@ -53,8 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after the other, on documents; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages, one after the other, on documents; each result is written and read again, and that before it deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = settle(spark, stage(spark, docs, sf_dir), f"stage-{k + 1}")
+        path = fresh_path(spark, f"stage-{k + 1}")
+        docs = settle(spark, stage(spark, docs, sf_dir), f"stage-{k + 1}", path)
+        if before is not None:
+            drop_path(spark, before)
+        before = path
     return docs
