@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftline.functions.fixed import REGIONS, TOPICS
-from siftline.functions.text import LETTERS, let, ngrams, strip_accents
+from siftline.functions.text import ACCENTS, LETTERS, let, plain_words
 
 _FOLD = str.maketrans(*LETTERS)
 
@@ -84,10 +84,21 @@ def region(words: Column) -> Column:
         clear = ~((first["n"] == -1) & F.coalesce(second["n"] == -1, F.lit(False)))
         return F.when(clear & first.isNotNull(), F.struct(first["code"].alias("code"), (-first["n"]).alias("mentions")))
 
-    plain = F.transform(words, strip_accents)
-    runs = let(plain, lambda p: F.concat(p, ngrams(p, 2), ngrams(p, 3)))
-    named = F.transform(F.filter(runs, lambda r: r.isin(list(names))), lambda r: F.element_at(codes, r))
-    return let(let(named, count), decide)
+    # What names of several words begin with: only there can a run of two or three words be one.
+    parts = [name.split(" ") for name in names]
+    heads = sorted({" ".join(p[:k]) for p in parts for k in range(1, len(p))})
+
+    def runs(p: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.get(p, i).isin(heads))
+        two = F.transform(F.filter(at, lambda i: i + 1 < F.size(p)), lambda i: F.concat_ws(" ", F.get(p, i), F.get(p, i + 1)))
+        three = F.transform(F.filter(at, lambda i: i + 2 < F.size(p)), lambda i: F.concat_ws(" ", F.get(p, i), F.get(p, i + 1), F.get(p, i + 2)))
+        return F.filter(F.concat(p, two, three), lambda r: r.isin(list(names)))
+
+    # Accents go once from the whole line, quotes and dashes from the few words that have some.
+    line = F.split(F.translate(F.array_join(words, " "), *ACCENTS), " ")
+    plain = F.transform(line, lambda w: F.when(w.rlike("['’-]"), plain_words(w)).otherwise(w))
+    named = F.when(F.size(words) > 0, let(plain, runs)).otherwise(F.array().cast("array<string>"))
+    return let(let(F.transform(named, lambda r: F.element_at(codes, r)), count), decide)
 
 
 def entities(title: Column, body: Column, most: int = 20) -> Column:

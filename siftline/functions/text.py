@@ -22,8 +22,10 @@ DIGITS = ("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 LETTERS = ("أإآٱىیےةؤئک", "اااايييهويك")
 MOST_CHARS = 200_000
 
-_CONTROLS = r"(?![\t\n\x0b\f\r\x85])\p{Cc}"
-_SPACE = r"(?U)\s+"
+#: Control characters but for white space.
+_CONTROLS = r"\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f"
+#: White space that is not one plain blank already.
+_SPACE = r"(?U)\s{2,}|[\s&&[^ ]]"
 
 
 def let(value: Column, body) -> Column:
@@ -46,7 +48,7 @@ class Switches:
 def _native(c: Column, on: Switches = Switches()) -> Column:
     """Normalising of text that compatibility composition leaves as it is."""
     removed = INVISIBLE + (DIACRITICS if on.diacritics else "") + (TATWEEL if on.tatweel else "")
-    c = F.regexp_replace(c, f"[{removed}]|{_CONTROLS}", "")
+    c = F.regexp_replace(c, f"[{removed}{_CONTROLS}]", "")
     c = F.translate(c, *DIGITS) if on.digits else c
     c = F.lower(c) if on.lowercase else c
     c = F.translate(c, *LETTERS) if on.letters else c
@@ -85,10 +87,17 @@ def normalize_plain(c: Column) -> Column:
     return _native(c)
 
 
+ACCENTS = ("àâäáãåçèéêëìíîïñòóôöõùúûüýÿœ", "aaaaaaceeeeiiiinooooouuuuyyo")
+
+
+def plain_words(c: Column) -> Column:
+    """Quotes and dashes made spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "['’-]", " "), " +", " "))
+
+
 def strip_accents(c: Column) -> Column:
     """Latin accents removed, quotes and dashes made spaces: for matching names."""
-    plain = F.translate(c, "àâäáãåçèéêëìíîïñòóôöõùúûüýÿœ", "aaaaaaceeeeiiiinooooouuuuyyo")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, "['’-]", " "), " +", " "))
+    return plain_words(F.translate(c, *ACCENTS))
 
 
 def tokens(c: Column) -> Column:
