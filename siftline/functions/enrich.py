@@ -95,9 +95,11 @@ def region(words: Column) -> Column:
         return F.filter(F.concat(p, two, three), lambda r: r.isin(list(names)))
 
     # Accents go once from the whole line, quotes and dashes from the few words that have some.
-    line = F.split(F.translate(F.array_join(words, " "), *ACCENTS), " ")
-    plain = F.transform(line, lambda w: F.when(w.rlike("['’-]"), plain_words(w)).otherwise(w))
-    named = F.when(F.size(words) > 0, let(plain, runs)).otherwise(F.array().cast("array<string>"))
+    line = F.translate(F.array_join(words, " "), *ACCENTS)
+    plain = let(line, lambda t: F.when(t.rlike("['’-]"), F.transform(F.split(t, " "), plain_words)).otherwise(F.split(t, " ")))
+    # Most texts have no word that is a name or begins one.
+    some = sorted({*names, *heads})
+    named = let(plain, lambda p: F.when(F.exists(p, lambda w: w.isin(some)), runs(p)).otherwise(F.array().cast("array<string>")))
     return let(let(F.transform(named, lambda r: F.element_at(codes, r)), count), decide)
 
 

@@ -24,6 +24,7 @@ MOST_CHARS = 200_000
 
 #: Control characters but for white space.
 _CONTROLS = r"\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f"
+_ARABIC = "[\u0600-\u06ff]"
 #: White space that is not one plain blank already.
 _SPACE = r"(?U)\s{2,}|[\s&&[^ ]]"
 
@@ -48,12 +49,14 @@ class Switches:
 def _native(c: Column, on: Switches = Switches()) -> Column:
     """Normalising of text that compatibility composition leaves as it is."""
     removed = INVISIBLE + (DIACRITICS if on.diacritics else "") + (TATWEEL if on.tatweel else "")
-    c = F.regexp_replace(c, f"[{removed}{_CONTROLS}]", "")
-    c = F.translate(c, *DIGITS) if on.digits else c
-    c = F.lower(c) if on.lowercase else c
-    c = F.translate(c, *LETTERS) if on.letters else c
-    c = F.trim(F.regexp_replace(c, _SPACE, " "))
-    return c if on.most is None else F.rtrim(F.left(c, F.lit(on.most)))
+    before = (DIGITS[0] if on.digits else "") + (LETTERS[0] if on.letters else "")
+    after = (DIGITS[1] if on.digits else "") + (LETTERS[1] if on.letters else "")
+    plain = F.regexp_replace(c, f"[{removed}{_CONTROLS}]", "")
+    plain = F.lower(plain) if on.lowercase else plain
+    # Character by character is slow, and only texts with Arabic need it.
+    plain = F.when(c.rlike(_ARABIC), F.translate(plain, before, after)).otherwise(plain) if before else plain
+    plain = F.trim(F.regexp_replace(plain, _SPACE, " "))
+    return plain if on.most is None else F.rtrim(F.left(plain, F.lit(on.most)))
 
 
 @arrow("string")
@@ -75,12 +78,12 @@ def normalize_with(c: Column, on: Switches) -> Column:
 
 def fold(c: Column) -> Column:
     """Normalised, with variants of Arabic letters made one."""
-    return F.translate(normalize(c), *LETTERS)
+    return normalize_with(c, Switches(letters=True))
 
 
 def fold_plain(c: Column) -> Column:
     """Folding of text that compatibility composition leaves as it is: no Python."""
-    return F.translate(_native(c), *LETTERS)
+    return _native(c, Switches(letters=True))
 
 
 def normalize_plain(c: Column) -> Column:
