@@ -21,6 +21,9 @@ class Bounds:
     middle: tuple[int, int] = (2 * HOUR, 14 * DAY)
     low: tuple[int, int] = (6 * HOUR, 30 * DAY)
 
+    def of(self, trust: int) -> tuple[int, int]:
+        return self.high if trust >= 80 else self.middle if trust >= 50 else self.low
+
     def column(self, trust: Column, k: int) -> Column:
         return F.when(trust >= 80, self.high[k]).when(trust >= 50, self.middle[k]).otherwise(self.low[k]).cast("long")
 

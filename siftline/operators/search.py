@@ -126,7 +126,7 @@ def typos_allowed(length: Column) -> Column:
 
 def with_typos(query_terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(query_id, term, word, typos): words of the vocabulary within the edits that a term's length allows. Terms are joined by first letter
-    and by length, so a term meets only words that could be near."""
+    and by length, so a term meets only words that could be near; a word whose first letter is mistyped isn't found."""
     asked = query_terms.withColumn("most", typos_allowed(F.length("term")))
     asked = asked.withColumn("size", F.explode(F.sequence(F.length("term") - F.col("most"), F.length("term") + F.col("most"))))
     words = vocabulary.select(F.col("term").alias("word"), F.length("term").alias("size"), F.left("term", F.lit(1)).alias("head"))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from siftline.functions import dates, text, urls
 from siftline.operators import crawl, registry, search
 from siftline.plans.base import ASKED, CRAWLED, NOW, TERMS, Query, asked, crawled, table
+from siftline.plans.crawl_plans import SQL as _CRAWL_SQL
 from siftline.sources import readers, sinks
 from siftline.sources.scratch import scratch
 from siftline.streaming import streams
 
+_REVISIT = _CRAWL_SQL["crawl_revisit"]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -312,6 +314,29 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["stream_windows"] = "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL"
 
 
+@plan
+def stream_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisit intervals kept as a stream's state, over files in order of the visits: the last state of each URL, with the bounds of its trust."""
+    e = table(spark, sf_dir, "events").filter("event_type in ('view', 'purchase')")
+    visits = e.select(F.concat(F.lit("u"), "user_id").alias("url"), (F.col("user_id") % 100).alias("trust"), F.col("event_id").alias("ts"), (F.col("event_type") == "purchase").alias("changed"))
+    source, out = scratch(spark, "visits"), scratch(spark, "states")
+    # One file after the other, as a stream takes the oldest first and the rule depends on the order of visits.
+    cuts = [float("-inf"), *visits.approxQuantile("ts", [0.25, 0.5, 0.75], 0.01), float("inf")]
+    for low, high in zip(cuts, cuts[1:]):
+        visits.filter((F.col("ts") > low) & (F.col("ts") <= high)).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(visits.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("at", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    _ended(streams.revisit_state(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start())
+    states = spark.read.schema("url string, interval_s long, volatile boolean, at long, batch string").parquet(out)
+    return states.groupBy("url").agg(F.max(F.struct("at", "interval_s", "volatile")).alias("x")).select("url", "x.interval_s", "x.volatile")
+
+
+SQL["stream_revisits"] = f"SELECT url, interval_s, volatile FROM ({_REVISIT})"
+
+
 # --- crawl tables
 
 

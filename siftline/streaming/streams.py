@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftline.functions.text import bands, hamming
+from siftline.operators.crawl import DAY, Bounds
 from siftline.sources.sinks import VersionedTable, bury, split_jobs
 
 
@@ -58,12 +59,14 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def revisit_state(stream: DataFrame, floor: int = 7200, ceiling: int = 14 * 86400, start: int = 86400) -> DataFrame:
-    """The revisit interval of each URL as a stream (url, ts, changed), kept as state across micro-batches."""
+def revisit_state(stream: DataFrame, bounds: Bounds = Bounds(), start: int = DAY) -> DataFrame:
+    """The revisit interval of each URL as a stream (url, ts, changed) and perhaps trust, kept as state across micro-batches: the same rule
+    as `crawl.revisit`, with the bounds of the trust (of middle trust without one)."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        interval, streak, volatile = state.get if state.exists else (start, 0, False)
         visits = pd.concat(list(frames)).sort_values("ts")
+        floor, ceiling = bounds.of(int(visits["trust"].max()) if "trust" in visits and visits["trust"].notna().any() else 50)
+        interval, streak, volatile = state.get if state.exists else (min(max(start, floor), ceiling), 0, False)
         for changed in visits["changed"]:
             streak = streak + 1 if changed and interval <= floor else 0
             volatile = volatile or streak >= 4
