@@ -25,22 +25,23 @@ def _smallest(hashed: DataFrame) -> DataFrame:
 def near_links(hashed: DataFrame, most: int = 3) -> DataFrame:
     """(doc_id, simhash, near_id, distance): for each different hash its smallest document, linked to the smallest of each other hash within
     `most` bits, at most three. Two hashes that near share a key of three blocks; equal hashes are one row before keys are joined, so
-    copies make no pairs."""
+    copies make no pairs. The join is by sorting: Spark takes the twenty keys of a hash for one row, and would broadcast them through the
+    driver."""
     if most > 3:
         raise ValueError("keys of three of six blocks find hashes that differ in at most three bits")
     one = _smallest(hashed)
     dealt = one.select("doc_id", "simhash", F.explode(block_keys(F.col("simhash"))).alias("b")).select("doc_id", "simhash", "b.band", "b.value")
     other = dealt.select(F.col("doc_id").alias("near_id"), F.col("simhash").alias("near_hash"), "band", "value")
-    pairs = dealt.join(other, ["band", "value"]).filter("doc_id < near_id").withColumn("distance", hamming(F.col("simhash"), F.col("near_hash")))
+    pairs = dealt.hint("merge").join(other.hint("merge"), ["band", "value"]).filter("doc_id < near_id").withColumn("distance", hamming(F.col("simhash"), F.col("near_hash")))
     return pairs.filter(F.col("distance") <= most).select("doc_id", "near_id", "distance").distinct()
 
 
 def hash_members(hashed: DataFrame) -> DataFrame:
     """(doc_id, near_id, distance): each document whose hash a smaller one has too, as near_id of the smallest one, at distance 0. With
     `near_links` these rows give every link: two documents are near if their smallest ones are the same or linked. One row a document, as
-    copies are not paired with each other."""
+    copies are not paired with each other. The join is by sorting, as there can be as many different hashes as documents."""
     held = hashed.select(F.col("doc_id").alias("near_id"), F.col("simhash").alias("near_hash"))
-    pairs = held.join(_smallest(hashed), F.col("near_hash").eqNullSafe(F.col("simhash"))).filter("doc_id < near_id")
+    pairs = held.hint("merge").join(_smallest(hashed).hint("merge"), F.col("near_hash").eqNullSafe(F.col("simhash"))).filter("doc_id < near_id")
     return pairs.select("doc_id", "near_id", F.lit(0).alias("distance")).distinct()
 
 

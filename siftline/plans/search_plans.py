@@ -345,8 +345,10 @@ SELECT min(doc_id) AS doc_id, content_hash FROM d WHERE doc_id % 10 <> 0 AND con
 def dedup_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftline.functions.text import normalize, simhash
 
-    # Hashed once: the few bytes of each document are kept for both sides of the joins.
-    hashed = table(spark, sf_dir, "documents").select("doc_id", simhash(normalize(F.coalesce("text", F.lit("")))).alias("simhash")).persist()
+    # Hashed once: the few bytes of each document are written for both sides of the joins, which would start on a cache before it is filled.
+    hashed = table(spark, sf_dir, "documents").select("doc_id", simhash(normalize(F.coalesce("text", F.lit("")))).alias("simhash"))
+    hashed.write.parquet(path := scratch(spark, "simhashes"))
+    hashed = spark.read.schema(hashed.schema).parquet(path)
     return dedup.near_links(hashed).unionByName(dedup.hash_members(hashed))
 
 

@@ -71,6 +71,14 @@ def test_near_query_links_copies(spark, tmp_path):
     assert {tuple(r) for r in catalog.queries()["dedup_near"](spark, str(tmp_path)).collect()} == {(1, 2, 0), (1, 4, 0)}
 
 
+def test_near_links_make_no_broadcast(spark):
+    hashed = spark.range(2000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("simhash"))
+    for found in (dedup.near_links(hashed), dedup.hash_members(hashed)):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_measures(spark):
     golden = spark.createDataFrame([(1, "a", 3), (1, "b", 1), (2, "c", 0), (3, "d", 2)], "query_id long, doc_id string, grade int")
     results = spark.createDataFrame([(1, "x", 1), (1, "a", 2), (2, "c", 1)], "query_id long, doc_id string, pos int")
